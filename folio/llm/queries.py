@@ -1,0 +1,33 @@
+"""Queries of the training-data operators over the test tables, with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from folio.llm.mixing import mix_shares, mix_sources
+from folio.llm.tokens import token_counts, token_ids
+from folio.session import cut_lineage, load
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(load(spark, d, "documents"), ["doc_id"], "text")
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    # Only documents of the targets' sources are counted; the join drops the others before their texts are read on.
+    targets = load(spark, d, "mix_targets")
+    docs = load(spark, d, "documents").join(targets.select("source").distinct(), "source", "left_semi")
+    # The sizes are read several times; they are a few bytes a document.
+    return mix_sources(cut_lineage(token_counts(docs, ["doc_id", "source"], "text")), targets)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_shares(_mixed(spark, d), load(spark, d, "mix_targets"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+SQL: dict[str, str] = {}
