@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.mixing import mix_shares, mix_sources
 from folio.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from folio.llm.spam_pages import label_pages
 from folio.llm.splitting import explode_pieces, split_texts
 from folio.llm.tokens import token_counts, token_ids
 from folio.session import cut_lineage, load
@@ -59,6 +60,14 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(_edited_texts(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return label_pages(load(spark, d, "documents"), ["doc_id"], "text").filter("is_spam").select("doc_id")
+
+
+def p9_labels(spark: SparkSession, d: str) -> DataFrame:
+    return label_pages(load(spark, d, "documents"), ["doc_id"], "text")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
@@ -67,6 +76,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_labels": p9_labels,
 }
 SQL: dict[str, str] = {
     "p4_found": """
