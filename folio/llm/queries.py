@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.mixing import mix_shares, mix_sources
+from folio.llm.names import link_names, linked_pairs
 from folio.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
 from folio.llm.spam_pages import label_pages
 from folio.llm.splitting import explode_pieces, split_texts
@@ -33,6 +34,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(_mixed(spark, d), load(spark, d, "mix_targets"))
 
 
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return link_names(load(spark, d, "papers").select(F.explode("authors").alias("name")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return linked_pairs(p3_entities(spark, d))
+
+
 def _long_texts(spark: SparkSession, d: str) -> DataFrame:
     chunks = load(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("id").alias("row_key"), "source", "text")
     pdfs = load(spark, d, "pdf_extractions").select(F.lit("pdf_extractions").alias("src_table"), F.col("extraction_id").alias("row_key"), "source", F.col("full_text").alias("text"))
@@ -69,6 +78,8 @@ def p9_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_entities": p3_entities,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p6_found": p6_found,
