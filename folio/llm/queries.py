@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.llm.matching import match_records
 from folio.llm.mixing import mix_shares, mix_sources
 from folio.llm.names import link_names, linked_pairs
 from folio.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
@@ -34,6 +35,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(_mixed(spark, d), load(spark, d, "mix_targets"))
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_records(load(spark, d, "papers"), load(spark, d, "catalog_records"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("paper_id", "record_id").distinct()
+
+
 def p3_entities(spark: SparkSession, d: str) -> DataFrame:
     return link_names(load(spark, d, "papers").select(F.explode("authors").alias("name")))
 
@@ -78,6 +87,8 @@ def p9_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_matches": p2_matches,
     "p3_found": p3_found,
     "p3_entities": p3_entities,
     "p4_found": p4_found,
