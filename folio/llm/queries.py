@@ -9,6 +9,7 @@ from folio.llm.matching import match_records
 from folio.llm.mixing import mix_shares, mix_sources
 from folio.llm.names import link_names, linked_pairs
 from folio.llm.near_duplicates import near_duplicate_groups, near_duplicate_pairs
+from folio.llm.scans import repair_scans
 from folio.llm.spam_pages import label_pages
 from folio.llm.splitting import explode_pieces, split_texts
 from folio.llm.tokens import token_counts, token_ids
@@ -35,6 +36,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(_mixed(spark, d), load(spark, d, "mix_targets"))
 
 
+def _page_texts(spark: SparkSession, d: str) -> DataFrame:
+    chunks = load(spark, d, "chunks").select(F.lit("chunks").alias("src_table"), F.col("id").alias("row_key"), "text")
+    return chunks.unionByName(load(spark, d, "pdf_extractions").select(F.lit("pdf_extractions").alias("src_table"), F.col("extraction_id").alias("row_key"), F.col("full_text").alias("text")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(_page_texts(spark, d), with_text=False).select("src_table", "row_key", F.explode("kinds").alias("kind")).distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(_page_texts(spark, d))
+
+
 def p2_matches(spark: SparkSession, d: str) -> DataFrame:
     return match_records(load(spark, d, "papers"), load(spark, d, "catalog_records"))
 
@@ -87,6 +101,8 @@ def p9_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_repaired": p1_repaired,
     "p2_found": p2_found,
     "p2_matches": p2_matches,
     "p3_found": p3_found,
