@@ -107,7 +107,7 @@ def citation_windows(contexts: DataFrame, narrow: int = 2, broad: int = 5, forwa
     """
     s = X.sentences(F.col("text"))
     prev = F.when(F.length(F.trim(F.coalesce("previous_text", F.lit("")))) >= 30, X.sentences(F.col("previous_text"))).otherwise(F.array().cast("array<string>"))
-    at = F.expr("coalesce(array_position(transform(_s, x -> contains(x, '[CITE]')), true), 1)")
+    at = F.expr("greatest(coalesce(array_position(transform(_s, x -> contains(x, '[CITE]')), true), 1), 1)")
     base = contexts.withColumn("_s", s).withColumn("_p", prev).withColumn("_at", at.cast("int"))
 
     def window(n: int) -> Column:

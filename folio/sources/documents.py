@@ -111,7 +111,7 @@ def read_bibtex(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             yield _frame([r for text in f["value"] for e in parse_bibtex(text) if (r := bibtex_row(e))], BIBTEX)
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(run, BIBTEX)
+    return spark.read.text(path, wholetext=True).mapInPandas(run, BIBTEX)
 
 
 def parse_tei(xml: str) -> dict | None:
@@ -143,7 +143,7 @@ def read_tei(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             yield _frame([{"path": p, **r} for p, text in zip(f["path"], f["value"]) if (r := parse_tei(text))], TEI)
 
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, TEI)
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").mapInPandas(run, TEI)
 
 
 class _Page(HTMLParser):

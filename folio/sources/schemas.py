@@ -31,7 +31,7 @@ def read_chunks(spark: SparkSession, path: str, without_bibliography: bool = Tru
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Non-blank stripped lines as queries, numbered in the file's order."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return rows.withColumn("text", F.trim("text")).filter("text <> ''").select(F.col("line").cast("long").alias("query_id"), "text")
 
 
