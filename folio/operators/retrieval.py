@@ -132,7 +132,7 @@ def aggregate_chunks(hits: DataFrame, mode: str, alpha: float = 0.7, best: int =
         "log_normalized": F.max(s) + bonus * F.log1p(n - 1),
     }[mode]
     return hits.groupBy("query_id", "paper_id").agg(
-        F.round(value, 6).alias("score"), n.alias("n_chunks"), F.min_by("chunk_id", F.struct(-s, F.col("chunk_id"))).alias("best_chunk")
+        F.round(value, 9).alias("score"), n.alias("n_chunks"), F.min_by("chunk_id", F.struct(-s, F.col("chunk_id"))).alias("best_chunk")
     )
 
 

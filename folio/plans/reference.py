@@ -367,7 +367,7 @@ def _mode_query(mode: str):
         return retrieval.aggregate_chunks(_hits(s, d), mode).select("query_id", "paper_id", "score", "n_chunks", "best_chunk")
 
     run.__name__ = f"chunks_{mode}"
-    query(f"""with {_HITS} select query_id, label as paper_id, round({_MODE_SQL[mode]}, 6) as score, count(*) as n_chunks, arg_min(doc_id, rank) as best_chunk from h group by 1, 2""")(run)
+    query(f"""with {_HITS} select query_id, label as paper_id, round({_MODE_SQL[mode]}, 9) as score, count(*) as n_chunks, arg_min(doc_id, rank) as best_chunk from h group by 1, 2""")(run)
 
 
 for _mode in _MODE_SQL:
