@@ -108,8 +108,8 @@ def clean_html(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Lower-case words without stop words and single characters; hyphened parts stand alone."""
     words = F.split(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", " "), "-", " "), r"\s+")
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
-    return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    # isin becomes one look into a hash set; array_contains would compare with every stop word.
+    return F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda x: (F.length(x) > 1) & ~x.isin(*STOPWORDS))
 
 
 def looks_like_heading(text: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import tokens
+from folio.session import cut_lineage, spread
 
 #: Rows of one block of vectors and of queries in the blocked product.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
@@ -34,10 +35,11 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.5,
     places; only positive ones are kept. Documents without a token count in N. Null
     texts are empty.
     """
-    docs = documents.select("doc_id", tokens(F.col("text")).alias("tokens"))
-    sized = docs.select("doc_id", "tokens", F.size("tokens").alias("len"))
-    totals = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = sized.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sized = spread(documents.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("len"))
+    # The postings are read twice, for the statistics and for the scores; texts are split once.
+    tf = cut_lineage(sized.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = max(1, documents.count())
+    totals = tf.agg(F.sum("tf").alias("n_tokens")).select(F.lit(n_docs).alias("n_docs"), (F.col("n_tokens") / n_docs).alias("avg_len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(totals)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))

@@ -10,7 +10,7 @@ from folio.functions import text as X
 from folio.operators import chunking, metadata, models, retrieval, upsert
 from folio.sinks import citations
 from folio.streaming.triggers import matching_lines, quiet_sessions
-from folio.session import load
+from folio.session import load, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -267,8 +267,8 @@ def bm25_topk(s, d):
 
 @query(f"with {_BM25} select term, any_value(round(raw_idf, 6)) as raw_idf, count(*) as df, sum(tf) as n from raw join tf using (term) group by term")
 def bm25_statistics(s, d):
-    docs = _documents(s, d).select("doc_id", X.tokens(F.col("text")).alias("w"))
-    n = docs.count()
+    n = _documents(s, d).count()
+    docs = spread(_documents(s, d)).select("doc_id", X.tokens(F.col("text")).alias("w"))
     tf = docs.select("doc_id", F.explode("w").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
     return stats.select("term", F.round(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("raw_idf"), "df", "n")
