@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.session import cut_lineage
+from folio.session import cut_lineage, spread
 
 #: A word counts as known from this share of all words on: at most 1 / KNOWN_SHARE words are.
 KNOWN_SHARE = 3e-6
@@ -344,6 +344,7 @@ def repair_scans(texts: DataFrame, with_text: bool = True) -> DataFrame:
     null keys are kept; no rows give no rows; other columns are left out. with_text
     false leaves the text out of the result.
     """
+    texts = spread(texts.select("src_table", "row_key", "text"))
     known, repeated = gather_evidence(texts)
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast((known, repeated))
@@ -361,4 +362,4 @@ def repair_scans(texts: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array([g[1] for g in got], pa.list_(pa.string()))], names=[*names, "kinds"])
 
     schema = "src_table string, row_key string, " + ("text string, " if with_text else "") + "kinds array<string>"
-    return texts.select("src_table", "row_key", "text").mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)

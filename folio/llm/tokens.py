@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.session import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -199,7 +201,7 @@ def _pieces(df: DataFrame, keys: list[str], text: str, path: str, with_ids: bool
     chunk_schema = T.StructType([*kept.fields, T.StructField("_seq", T.IntegerType()), T.StructField("_hash", T.BinaryType()), T.StructField("_chunk", T.StringType()), T.StructField("_raw", T.StringType()), T.StructField("_unsafe", T.BooleanType())])
     value = T.ArrayType(T.IntegerType()) if with_ids else T.IntegerType()
     piece_schema = T.StructType([*kept.fields, T.StructField("_seq", T.IntegerType()), T.StructField("_value", value), T.StructField("_raw", T.StringType()), T.StructField("_unsafe", T.BooleanType())])
-    rows = src.mapInArrow(_chunk_rows(arrow), chunk_schema)
+    rows = spread(src).mapInArrow(_chunk_rows(arrow), chunk_schema)
     # Equal chunks meet in one partition; a rebalance lets AQE split a hot one, and as each
     # map task sends a chunk's text once, every split holds the text it needs.
     together = rows.hint("rebalance", "_hash").sortWithinPartitions("_hash", F.col("_chunk").isNull())
