@@ -37,8 +37,8 @@ def split_texts(texts: DataFrame, specs: DataFrame) -> DataFrame:
     the last overlap_chars characters of the one before, fewer by the rest of a cut word,
     or with all of the part before it where that is shorter than the overlap.
 
-    Null, empty and short texts give no row, as do texts without a spec or with a null
-    limit; repeats give one row; a null overlap is 0, and one of the limit or more is
+    Null, empty and short texts give no row, as do texts without a spec (one with a null
+    limit is none, so the default holds); repeats give one row; a null overlap is 0, and one of the limit or more is
     taken as half of it; other columns are left out.
     """
     specs = specs.groupBy("src_table", "source").agg(F.max_by(F.struct("max_chars", "overlap_chars"), "max_chars").alias("_s"))
