@@ -34,7 +34,7 @@ KINDS = ("hyphen", "characters", "header", "page_number")
 MARKS = "-­‐‑¬="
 # What a scanner reads, and the letters that stood there.
 MISREAD = (
-    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("¢", "c"), ("|", "l"), ("!", "l"), ("@", "a"), ("$", "s"), ("€", "e"),
+    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("¢", "c"), ("|", "l"), ("!", "i"), ("!", "l"), ("@", "a"), ("$", "s"), ("€", "e"),
     ("I", "l"), ("ß", "ss"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("rn", "m"), ("m", "rn"), ("ri", "n"), ("ii", "u"), ("li", "h"),
     ("cl", "d"), ("d", "cl"), ("vv", "w"), ("c", "e"), ("o", "a"), ("f", "t"),
 )
@@ -177,6 +177,8 @@ def reread(token: str, known: frozenset[str], cache: dict[str, str | None]) -> s
     """The known word a misread token stands for, or None if it isn't misread."""
     if token in cache:
         return cache[token]
+    if len(token) > 40:
+        return None
     out = None
     low = token.lower()
     letters = sum(c.isalpha() for c in token)
@@ -262,9 +264,9 @@ def repair_text(text: str, known: frozenset[str], repeated: frozenset[str], cach
                 if left and r and k == "b" and joins(left, r.group(), known):
                     found.add("hyphen")
                     stem = current.rstrip()
-                    mark, stem = stem[-1], stem[:-1]
+                    stem = stem[:-1]
                     part = left.rsplit("-", 1)[-1]
-                    compound = mark == "-" and (part + r.group()).lower() not in known and part.lower() in known and r.group().lower() in known
+                    compound = (part + r.group()).lower() not in known and part.lower() in known and r.group().lower() in known
                     current = stem + ("-" if compound else "") + line
                     empty = torn = False
                     continue
