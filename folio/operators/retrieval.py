@@ -6,7 +6,7 @@ Every operator takes a table of queries and returns ranked rows
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,15 +27,15 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """Okapi BM25 of queries (query_id, text) over documents (doc_id, text).
 
     Idf is ln((N - df + .5) / (df + .5)); a negative one becomes epsilon times the mean
     idf of the vocabulary. Repeated query words count again; scores are rounded to six
-    places; only positive ones are kept. Documents without a token count in N. Null
+    places; only positive ones are kept; words splits a text (with stems, for one). Documents without a token count in N. Null
     texts are empty.
     """
-    sized = spread(documents.select("doc_id", "text")).select("doc_id", tokens(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("len"))
+    sized = spread(documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("len"))
     # The postings are read twice, for the statistics and for the scores; texts are split once.
     tf = cut_lineage(sized.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = max(1, documents.count())
@@ -43,7 +43,7 @@ def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.5,
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.crossJoin(F.broadcast(totals)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     idf = raw.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
     weighted = asked.join(idf, "term")
     gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions import prose
 from folio.functions import text as X
+from folio.functions.stem import stemmed
 from folio.operators import chunking, metadata, models, retrieval, upsert
+from folio.operators.files import match_files
 from folio.sinks import citations
 from folio.streaming.triggers import matching_lines, quiet_sessions
 from folio.session import load, spread
@@ -308,6 +311,11 @@ def evaluation(s, d):
     return retrieval.ranking_metrics(retrieval.bm25(_document_queries(s, d), _documents(s, d), 11), relevant)
 
 
+@query()
+def bm25_stemmed(s, d):
+    return retrieval.bm25(_document_queries(s, d), _documents(s, d), words=lambda c: stemmed(X.tokens(c))).select("query_id", "doc_id", "score", "rank")
+
+
 @query()
 def title_dedup(s, d):
     titles = load(s, d, "documents").select("doc_id", X.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_key"), (F.length("text") > 500).alias("has_abstract"))
@@ -568,6 +576,41 @@ def explorer_search(s, d):
     return _papers(s, d).filter(F.lower("title").contains("basin") | F.coalesce(F.lower(F.array_join("authors", " ")).contains("basin"), F.lit(False))).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def file_matches(s, d):
+    p = load(s, d, "papers")
+    return match_files(p.select(F.col("source_file").alias("file")), _papers(s, d).select("id", "title", "authors", "year", "doi", "bibtex_key"))
+
+
+@query()
+def cautious_sentences(s, d):
+    """Abbreviation-aware sentences; DuckDB's patterns have no lookaround."""
+    return load(s, d, "contexts").filter("text is not null").select("id", prose.cautious_sentences(F.col("text")).alias("sentences")).distinct()
+
+
+@query("""with r as (select distinct record_id, doi from catalog_records where doi is not null)
+select record_id, nullif(regexp_extract(doi, 'doi\\.org/(10\\.[0-9]{4,9}/[^?#\\s]+)', 1, 'i'), '') as doi from r""")
+def address_identifiers(s, d):
+    return load(s, d, "catalog_records").filter("doi is not null").select("record_id", "doi").distinct().select("record_id", prose.identifiers(F.col("doi"))["doi"].alias("doi"))
+
+
+@query(f"""with {_PAPERS}, c as (select distinct id, paper_id, text from contexts where text <> ''), r as (select distinct paper_id, neighbor_id, rank from reference_sets where neighbor_id is not null and rank is not null),
+l as (select paper_id, list(neighbor_id order by rank, neighbor_id) as refs from r group by 1)
+select c.id, array_to_string(case when l.refs is null then [c.paper_id] when list_contains(l.refs, c.paper_id) then l.refs else list_prepend(c.paper_id, l.refs) end, ',') as reference_set from c join p on p.id = c.paper_id left join l on l.paper_id = c.paper_id""")
+def export_contexts(s, d):
+    """Contexts with their reference sets, the paper itself put in where it is missing."""
+    r = load(s, d, "reference_sets").filter("neighbor_id is not null and rank is not null").select("paper_id", "neighbor_id", "rank").distinct()
+    lists = r.groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))), lambda x: x["neighbor_id"]).alias("refs"))
+    c = load(s, d, "contexts").filter("text <> ''").select("id", "paper_id", "text").distinct().join(_papers(s, d).select(F.col("id").alias("paper_id")), "paper_id").join(lists, "paper_id", "left")
+    own = F.when(F.col("refs").isNull(), F.array("paper_id")).when(F.array_contains("refs", F.col("paper_id")), F.col("refs")).otherwise(F.array_prepend("refs", F.col("paper_id")))
+    return c.select("id", F.array_join(own, ",").alias("reference_set"))
+
+
+@query(f"""with {_PAPERS} select id, 'Describe the paper.' || chr(10) || chr(10) || 'Title: ' || title || coalesce(chr(10) || chr(10) || 'Abstract: ' || nullif(abstract, ''), '') as prompt from p where title <> ''""")
+def enrichment_prompts(s, d):
+    return _papers(s, d).filter("title <> ''").select("id", prose.prompt("Describe the paper.", title=F.col("title"), abstract=F.col("abstract")).alias("prompt"))
+
+
 # ---- incremental tables and triggers --------------------------------------------------------------
 
 
