@@ -51,3 +51,13 @@ def test_match_files(spark):
     got = {r.paper_id: (r.file, r.rule) for r in match_files(spark.createDataFrame([(f,) for f in files], "file string"), p).collect()}
     assert got == {"p1": (files[0], "key"), "p3": (files[3], "doi"), "p4": (files[1], "title"), "p2": (files[2], "words"), "p5": (files[4], "author_year")}
     assert match_files(spark.createDataFrame([], "file string"), p).count() == 0
+
+
+def test_match_files_by_common_words_and_parts(spark):
+    """Words above common, a name that is a later part of a title or a short one, text around a DOI."""
+    papers = [(f"p{i}", f"Wide deep {w} basin", ["Nobody, N."], 0, None, None) for i, w in enumerate(("river", "ocean", "valley", "forest"))]
+    papers += [("q1", "A long account of glacial sediment cores", ["Nobody, N."], 0, None, None), ("q2", "All about Zyxw in the field", ["Nobody, N."], 0, None, None), ("q3", "Quite something else", ["Nobody, N."], 0, "10.5555/cd-7", None)]
+    files = ["basin deep wide.pdf", "glacial_sediment.pdf", "zyxw.pdf", "copy of 10.5555_cd-7_final.pdf"]
+    p = spark.createDataFrame(papers, "id string, title string, authors array<string>, year int, doi string, bibtex_key string")
+    got = {r.file: (r.paper_id, r.rule) for r in match_files(spark.createDataFrame([(f,) for f in files], "file string"), p, common=2).collect()}
+    assert got == {files[0]: ("p0", "words"), files[1]: ("q1", "title"), files[2]: ("q2", "title"), files[3]: ("q3", "doi")}
