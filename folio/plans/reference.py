@@ -478,7 +478,7 @@ def graph_boosts(s, d):
 select paper_id, array_to_string(list(neighbor_id order by rank, neighbor_id)[1:50], ',') as neighbours from r group by 1""")
 def reference_lists(s, d):
     r = load(s, d, "reference_sets").filter("neighbor_id is not null and rank is not null").select("paper_id", "neighbor_id", "rank").distinct()
-    return r.groupBy("paper_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))), lambda x: x["neighbor_id"]), 1, 50), ",").alias("neighbours"))
+    return r.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbor_id"))), lambda x: x["neighbor_id"]), ",").alias("neighbours"))
 
 
 @query("""with r as (select distinct paper_id, neighbor_id from reference_sets where neighbor_id is not null), p as (select distinct id from papers),

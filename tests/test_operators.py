@@ -233,3 +233,10 @@ def test_models(spark):
     answers = [("p", "My Title", '```json\n[{"type": "method", "text": "We follow the scheme of [CITE] for all the sites."}, {"type": "method", "text": "Second one of the same type as [CITE] shows."}, {"type": "odd", "text": "Not an allowed type at all [CITE] here."}, {"type": "result", "text": "My title is named here by [CITE] verbatim."}]\n```'), ("q", "T", "no json")]
     got = models.valid_contexts(spark.createDataFrame(answers, "paper_id string, title string, answer string"), ["method", "result"]).collect()
     assert [(r.paper_id, r.type, r.text[:9]) for r in got] == [("p", "method", "We follow")]
+
+
+def test_reference_lists_are_whole(spark, tmp_path):
+    from folio.plans import reference
+
+    spark.range(60).selectExpr("'p' as paper_id", "concat('n', id) as neighbor_id", "cast(id as int) as rank").write.parquet(str(tmp_path / "reference_sets.parquet"))
+    assert reference.reference_lists(spark, str(tmp_path)).first().neighbours.split(",") == [f"n{i}" for i in range(60)]
