@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -109,11 +110,23 @@ def test_splitting_prefers_sentences(spark):
 
 
 CLEAN = "The stable pattern of sediment between the two campaigns was found in most of the replicates. Treewidth and modularity remained stable near the upper limit of the record. "
-KNOWN = frozenset("the stable pattern of sediment between two campaigns was found in most replicates treewidth and modularity remained near upper limit record modern number northern across first".split())
+def evidence(*texts):
+    edges, others = Counter(), Counter()
+    for t in texts:
+        scans.count_text(t, edges, others)
+    return scans.read_evidence([(k, n) for k, n in edges.items() if n >= scans.LEAST and n >= scans.EDGE_SHARE * (n + others[k])])
 
 
-def repaired(text, repeated=frozenset()):
-    return scans.repair_text(text, KNOWN, repeated, {})
+HEADERS = ["Journal of Things, Vol. 3 (1999)", "_____ Working Papers _____", "Smith et al. / Journal of Things 3 (1999)", "SMITH ET AL.", "Downloaded from journal.example on 3 March 2019", "© 2020 The Authors", "Preprint - not peer reviewed - version 2", "Journal of Things          Smith", "ON THE STABLE ROLE OF", "On the stable role of ..."]
+NUMBERS = ["17", "- 17 -", "· 17 ·", "[17]", "17/90", "Page 17 of 90", "p. 17", "xvii"]
+TORN = "In the record of the wider region the pattern was found\n{}\nin most replicates of the campaign between the two limits."
+OTHERS = [x.replace("17", str(n)).replace("xvii", "xix").replace("Smith", name).replace("SMITH", name.upper()).replace("stable", word).replace("STABLE", word.upper()) for x in [*HEADERS, *NUMBERS] for n, name, word in ((3, "Miller", "wide"), (44, "Jones", "late"), (205, "Weber", "cold"))]
+CORPUS = [*(CLEAN + "The first modern number across the northern site." for _ in range(4)), *(TORN.format(x) for x in OTHERS), "INTRODUCTION\n\nThe record.", "1. Survey grids\n\nThe record."]
+KNOWN = evidence(*CORPUS)
+
+
+def repaired(text, known=None):
+    return scans.repair_text(text, known or KNOWN, {})
 
 
 @pytest.mark.parametrize("mark", ["-", "‐", "¬", "=", "­", "- "])
@@ -123,7 +136,7 @@ def test_divided_words(mark):
 
 @pytest.mark.parametrize("between", ["\n", "\n\n", "\r\n", "\n12\n", "\n\n- 7 -\n\n", "\nJournal of Things, Vol. 3 (1999)\n", "\n(4)\n", "\n2. Survey grids\n"])
 def test_divided_across_lines(between):
-    text, kinds = repaired(f"The pattern was found bet-{between}ween the two campaigns.")
+    text, kinds = repaired(f"In the whole record the pattern of the limit was found bet-{between}ween the two campaigns in most of the replicates.")
     assert "hyphen" in kinds and "between the two" in text
 
 
@@ -132,15 +145,31 @@ def test_hyphens_that_divide_nothing(text):
     assert "hyphen" not in repaired(text)[1]
 
 
-@pytest.mark.parametrize("line", ["17", "- 17 -", "· 17 ·", "[17]", "17/90", "Page 17 of 90", "p. 17", "xvii"])
+def test_the_vocabulary_decides_on_divided_words():
+    text = "The pattern was found bet-\nween the two campaigns."
+    assert repaired(text, KNOWN._replace(words={}, begins=frozenset(), ends=frozenset()))[1] == []
+    assert "upper-limit" in repaired("The pattern of the upper-\nlimit was found.")[0]
+
+
+@pytest.mark.parametrize("line", NUMBERS)
 def test_page_numbers(line):
-    assert repaired(f"The pattern was found\n{line}\nin most replicates.") == ("The pattern was found in most replicates.", ["page_number"])
+    assert repaired(TORN.format(line)) == (TORN.format("").replace("\n\n", " "), ["page_number"])
+    assert repaired(TORN.format(line), KNOWN._replace(lines=frozenset()))[1] == []
+
 
+def test_page_numbers_rise():
+    sentence = "In the record of the wider region the pattern was found\n"
+    text = "".join(f"{sentence}{n}\nin most replicates of the campaign.\n" for n in (7, 8, 3, 9))
+    out, kinds = repaired(text)
+    assert kinds == ["page_number"] and "3" in out and not any(str(n) in out for n in (7, 8, 9))
+    assert scans._longest_rise([5, 1, 2, 9, 3]) == [1, 2, 4] and scans._longest_rise([]) == []
 
-@pytest.mark.parametrize("line", ["Journal of Things, Vol. 3 (1999)", "_____ Working Papers _____", "Smith et al. / Journal of Things 3 (1999)", "SMITH ET AL.", "Downloaded from journal.example on 3 March 2019", "© 2020 The Authors", "Preprint - not peer reviewed - version 2", "Journal of Things          Smith", "ON THE STABLE ROLE OF", "On the stable role of ..."])
+
+@pytest.mark.parametrize("line", HEADERS)
 def test_headers(line):
-    assert repaired(f"The pattern was found\n{line}\nin most replicates.") == ("The pattern was found in most replicates.", ["header"])
-    assert repaired(f"The pattern was found\n212    {line}\nin most replicates.")[1] == ["header", "page_number"]
+    assert repaired(TORN.format(line)) == (TORN.format("").replace("\n\n", " "), ["header"])
+    assert repaired(TORN.format("212    " + line))[1] == ["header", "page_number"]
+    assert repaired(TORN.format(line), KNOWN._replace(lines=frozenset()))[1] == []
 
 
 @pytest.mark.parametrize("line", ["(9)", "1. Survey grids", "4 Data", "Site    depth   n\nNorth   2.1   4\nSouth   3.0   9", "Introduction", "DISCUSSION", "* an item of a list"])
@@ -154,22 +183,35 @@ def test_misread_characters(bad, good):
     assert repaired(f"The {bad} was found.") == (f"The {good} was found.", ["characters"])
 
 
+def test_known_words_are_misread_only_beside_far_more_frequent_ones():
+    known = KNOWN._replace(words={"modern": 1000, "modem": 30, "form": 1000, "forrn": 5})
+    assert scans.reread("modem", known.words, {}) is None
+    assert scans.reread("forrn", known.words, {}) == "form"
+
+
+def test_a_longer_corpus_keeps_its_evidence():
+    more = evidence(*CORPUS, *[f"Other words stand here, number {i}." for i in range(2000)])
+    assert KNOWN.lines <= more.lines and KNOWN.words.keys() <= more.words.keys()
+
+
 def test_sound_text_stays(spark):
     for text in ("", "One line only: CO2 at 5.3 ms.", "The record.\n\nThe limit of 12.\n\n1. Item"):
         assert repaired(text)[1] == []
-    rows = [("t", "a", None), ("t", "b", ""), ("t", "c", CLEAN * 9), ("t", "d", "The pat-\ntern of sediment\n3\nwas found."), ("t", "d", "The pat-\ntern of sediment\n3\nwas found."), (None, None, CLEAN)]
+    torn = TORN.format(3)
+    rows = [("t", "a", None), ("t", "b", ""), ("t", "c", CLEAN * 9), ("t", "d", torn), ("t", "d", torn), ("t", "e", TORN.format(44)), (None, None, CLEAN)]
     df = spark.createDataFrame(rows, "src_table string, row_key string, text string").withColumn("kinds", F.lit(1))
     got = scans.repair_scans(df)
-    assert sorted((r.row_key or "", tuple(r.kinds)) for r in got.collect()) == [("", ()), ("a", ()), ("b", ()), ("c", ()), ("d", ("hyphen", "page_number")), ("d", ("hyphen", "page_number"))]
+    assert sorted((r.row_key or "", tuple(r.kinds)) for r in got.collect()) == [("", ()), ("a", ()), ("b", ()), ("c", ()), ("d", ("page_number",)), ("d", ("page_number",)), ("e", ("page_number",))]
     assert {r.text for r in got.collect() if r.row_key == "a"} == {None}
     assert scans.repair_scans(df.limit(0)).count() == 0
 
 
-def test_repeated_lines_are_found_by_the_corpus(spark):
-    odd = "Proceedings extra issue"
-    rows = [("t", f"k{i}", f"The stable pattern of sediment in the record number {i} was found near the upper limit of\n{odd}\nthe treewidth and of the modularity between the two campaigns in most replicates.") for i in range(5)]
-    got = scans.repair_scans(spark.createDataFrame(rows, "src_table string, row_key string, text string")).collect()
-    assert all(r.kinds == ["header"] and odd not in r.text for r in got)
+def test_joined_evidence_repairs_like_a_broadcast(spark):
+    texts = [*CORPUS, "The pat-\ntern of sediment was nurnber one.", "A rec0rd of the north-\nern site.", *(TORN.format(x) for x in HEADERS), None, ""]
+    df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate(texts)], "src_table string, row_key string, text string")
+    a, b = scans.repair_scans(df), scans.repair_scans(df, broadcast=40)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert any("header" in r.kinds for r in b.collect()) and any("characters" in r.kinds for r in b.collect())
 
 
 PROSE = "We examined the sites in the north between 1990 and 2004. The results suggest that the pattern was stable in most of the years. It remains unclear how this affects the limit."
