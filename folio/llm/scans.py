@@ -65,7 +65,6 @@ _GAP = re.compile(r"\s{3,}")
 _ODD_SHAPE = re.compile(r"[^AW9# .?!;]|\.\.\.$")
 _PLAIN = re.compile(r"(?<![^\s(\"'“‘-])[^\W\d_]{2,}(?![^\s.,;:!?)\"'”’-])")
 _COMPOUND = re.compile(r"(?<![^\s(\"'“‘])[a-zß-öø-ÿ]{2,}-[a-zß-öø-ÿ]{2,}(?![^\s.,;:!?)\"'”’])")
-_TORN = re.compile(r"\S*[" + MARKS + r"][ \t]*\n\s*\S*")
 _ROMAN_VALUES = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
 _TOKEN = re.compile(r"[^\s.,;:()\[\]\"'“”‘’?/%–—=¬­‐‑*•·_+<>{}#&~-]+")
 
@@ -407,7 +406,15 @@ def count_text(text: str, edges: Counter, others: Counter) -> None:
                     b = bisect_left(body, i)
                     inside = 0 < b < len(body) and page.lines[body[b - 1]][-1] not in ".!?:" and (page.lines[body[b]][0].islower() or b + 1 < len(body) and page.lines[body[b + 1]][0].islower())
                     (edges if inside else others)["#" + re.sub(r"\d+|[ivxlc]+$", "9", page.lines[i]).lower()] += 1
-        text = _TORN.sub(" ", text)
+        whole, torn = [], False
+        for line in page.lines:
+            # Both halves of a divided word are no words.
+            if torn and line:
+                line = line.partition(" ")[2]
+            if line:
+                torn = line[-1] in MARKS
+                whole.append(line.rpartition(" ")[0] if torn else line)
+        text = "\n".join(whole)
     edges.update(_PLAIN.findall(text))
     if "-" in text:
         edges.update(_COMPOUND.findall(text))
