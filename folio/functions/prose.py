@@ -33,10 +33,23 @@ def highlight(parent: Column, focus: Column) -> Column:
 
 
 def highlight_cut(text: Column, most: int) -> Column:
-    """Text of at most about most characters with its ** part kept: 30 % of the room before it, 70 % behind."""
+    """Text with its ** part kept whole: 30 % of the room that part leaves of most goes before it, the rest behind.
+
+    Without a marked part, the first most characters. A cut beginning goes on behind the
+    next blank if that is near.
+    """
     first = F.instr(text, F.lit("**"))
-    start = F.greatest(F.lit(1), first - int(most * 0.3))
-    return F.when(F.length(text) <= most, text).when(first == 0, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(F.concat(F.when(start > 1, F.lit("...")).otherwise(""), F.substr(text, start, F.lit(most)), F.when(start + most <= F.length(text), F.lit("...")).otherwise("")))
+    last = F.when(first > 0, F.instr(F.substr(text, first + 2), F.lit("**"))).otherwise(0)
+    end = first + 2 + last  # the place of the closing mark's second star
+    room = most - (end - first + 1)
+    before = F.floor(room * 0.3).cast("int")
+    start = F.greatest(F.lit(1), first - before)
+    stop = F.least(F.length(text), end + room - before)
+    inner = F.substr(text, start, stop - start + 1)
+    blank = F.instr(inner, F.lit(" "))
+    shown = F.when(start > 1, F.concat(F.lit("..."), F.when((blank > 1) & (blank <= 20), F.substr(inner, blank + 1)).otherwise(inner))).otherwise(inner)
+    plain = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    return F.when((first == 0) | (last == 0), plain).otherwise(F.concat(shown, F.when(stop < F.length(text), F.lit("...")).otherwise("")))
 
 
 def arxiv_month(arxiv_id: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folio.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Edges -> (node, component): the least node of each component.
 
     Alternates large-star and small-star steps; each is one shuffle on the node with
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
     e = cut_lineage(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:  # to the fixed point; a round at least halves the distances to the least nodes
         # Large star: every node's greater neighbours point to its least neighbour (or itself).
         least = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = e.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -18,19 +18,28 @@ def _squeezed(c: Column) -> Column:
 
 
 def _one_to_one(candidates: DataFrame) -> DataFrame:
-    """Greedy in paper order: rounds in which a pair is kept if it is the first of both its paper and its file.
+    """Greedy in paper order, each paper taking its first file that is left.
 
-    Each round settles at least the first open pair and, in practice, nearly all; both
-    sides shrink by anti joins, so no group is walked on one machine.
+    Papers that all share the same files (copies of a title) are settled at once, the
+    n-th paper with the n-th file. The others take rounds in which a pair is kept if it is
+    the first of its paper and the first of its file among all open pairs; the least open
+    paper is always settled, and in practice nearly all are.
     """
-    kept, open_pairs = None, cut_lineage(candidates.distinct())
+    pairs = candidates.distinct()
+    of_paper, of_file = (F.bit_xor(F.xxhash64(c)).over(W.partitionBy(by)) for c, by in (("file", "paper_id"), ("paper_id", "file")))
+    signed = cut_lineage(pairs.withColumn("_p", of_paper.cast("string")).withColumn("_f", of_file.cast("string")).withColumn("_d", F.count(F.lit(1)).over(W.partitionBy("file"))))
+    alike = signed.groupBy("_p").agg(F.count_distinct("_f").alias("_kinds"), F.count_distinct("paper_id").alias("_n"), F.count_distinct("file").alias("_m"), F.max("_d").alias("_d"), F.count(F.lit(1)).alias("_all"))
+    whole = signed.join(alike.filter("_kinds = 1 and _n * _m = _all and _d = _n").select("_p"), "_p", "left_semi")
+    ranked = whole.withColumn("_i", F.dense_rank().over(W.partitionBy("_p").orderBy("paper_id"))).withColumn("_j", F.dense_rank().over(W.partitionBy("_p").orderBy("file")))
+    kept = cut_lineage(ranked.filter("_i = _j").select("paper_id", "file"))
+    open_pairs = cut_lineage(signed.join(whole.select("_p").distinct(), "_p", "left_anti").select("paper_id", "file"))
     while not open_pairs.isEmpty():
         first_file = F.row_number().over(W.partitionBy("paper_id").orderBy("file"))
         first_paper = F.row_number().over(W.partitionBy("file").orderBy("paper_id"))
-        won = cut_lineage(open_pairs.withColumn("_f", first_file).filter("_f = 1").select("paper_id", "file").withColumn("_p", first_paper).filter("_p = 1").select("paper_id", "file"))
-        kept = won if kept is None else kept.unionByName(won)
+        won = cut_lineage(open_pairs.withColumn("_i", first_file).withColumn("_j", first_paper).filter("_i = 1 and _j = 1").select("paper_id", "file"))
+        kept = kept.unionByName(won)
         open_pairs = cut_lineage(open_pairs.join(won.select("paper_id"), "paper_id", "left_anti").join(won.select("file"), "file", "left_anti"))
-    return kept if kept is not None else candidates.limit(0)
+    return kept
 
 
 def _rarest(rows: DataFrame, key: str, words: str, counts: DataFrame) -> DataFrame:

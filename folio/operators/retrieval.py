@@ -179,29 +179,19 @@ def upper_quartile_rank(values: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def deduplicate_titles(results: DataFrame, close: float = 0.95) -> DataFrame:
-    """One result a title key and query: the first, unless a close later one alone has an abstract.
+    """One result a query and title key, in the order of their ranks; results without a key all stay.
 
-    results: (query_id, doc_id, score, rank, title_key, has_abstract). A replacing copy
-    goes to the end, as new ranks show. Rows of one query are bounded by its k.
+    results: (query_id, doc_id, score, rank, title_key, has_abstract). The best copy of a
+    title stands for it, unless it lacks an abstract: then the next one that has an
+    abstract and more than close of its score does.
     """
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        by_title: dict[str, dict] = {}
-        for r in f.sort_values("rank").to_dict("records"):
-            old = by_title.get(r["title_key"]) if r["title_key"] else None
-            if old is None:
-                kept.append(r)
-                if r["title_key"]:
-                    by_title[r["title_key"]] = r
-            elif old["score"] > 0 and r["score"] / old["score"] > close and r["has_abstract"] and not old["has_abstract"]:
-                kept = [x for x in kept if x is not old] + [r]
-                by_title[r["title_key"]] = r
-        out = pd.DataFrame(kept, columns=f.columns)
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return results.groupBy("query_id").applyInPandas(run, results.schema)
+    copies = W.partitionBy("query_id", "title_key").orderBy("rank")
+    whole = copies.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first_score, first_has = F.first("score").over(whole), F.first("has_abstract").over(whole)
+    better = F.col("has_abstract") & ~first_has & (first_score > 0) & (F.col("score") > close * first_score)
+    chosen = results.withColumn("_better", better).withColumn("_rank", F.coalesce(F.min(F.when(F.col("_better"), F.col("rank"))).over(whole), F.min("rank").over(whole)))
+    kept = chosen.filter((F.col("rank") == F.col("_rank")) | (F.col("title_key") == "")).drop("_better", "_rank")
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).select(*results.columns)
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

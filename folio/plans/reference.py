@@ -198,6 +198,13 @@ def _paragraphs(s, d):
     return chunking.document_paragraphs(pdf)
 
 
+def _texts_in_paragraphs(s, d):
+    """Every extraction by its paragraphs or its full text, and every paper by its abstract."""
+    pdf = load(s, d, "pdf_extractions").select(F.col("extraction_id").alias("paper_id"), "paragraphs", "full_text", F.lit(None).cast("string").alias("abstract"), F.lit("").alias("title")).distinct()
+    own = _papers(s, d).select(F.col("id").alias("paper_id"), F.lit(None).cast("array<string>").alias("paragraphs"), F.lit(None).cast("string").alias("full_text"), "abstract", "title")
+    return chunking.document_paragraphs(pdf.unionByName(own))
+
+
 @query(f"""with e as (select distinct extraction_id as paper_id, paragraphs from pdf_extractions where paragraphs is not null),
 q as (select paper_id, unnest(range(0, len(paragraphs))) as pos, unnest(paragraphs) as x from e),
 r as (select paper_id, cast(pos as int) as pos, trim(x) as x from q where trim(x) <> ''),
@@ -211,15 +218,20 @@ def section_carry(s, d):
 
 @query()
 def paragraph_chunks(s, d):
-    return chunking.chunk_paragraphs(_paragraphs(s, d))
+    return chunking.chunk_paragraphs(_texts_in_paragraphs(s, d))
 
 
 @query()
 def sentence_chunks(s, d):
-    return chunking.chunk_sentences(_paragraphs(s, d))
+    return chunking.chunk_sentences(_texts_in_paragraphs(s, d))
 
 
-@query()
+@query(f"""with e as (select distinct extraction_id as paper_id, paragraphs, len(paragraphs) as n from pdf_extractions where len(paragraphs) > 0),
+q as (select paper_id, n, unnest(range(0, n)) as pos, unnest(paragraphs) as x from e),
+r as (select paper_id, n, pos, length(trim(x)) <= 600 and ({_SIGNALS.replace('x,', 'trim(x),').replace('(x ', '(trim(x) ')}) >= 3 as bib from q where trim(x) <> ''),
+f as (select paper_id, any_value(n) as n, string_agg(case when bib then '1' else '0' end, '' order by pos) filter (where pos >= floor(n * 0.6)) as flags,
+  list(pos order by pos) filter (where pos >= floor(n * 0.6)) as places from r group by paper_id)
+select paper_id, case when n >= 10 and regexp_matches(flags, '111|1101') then cast(places[length(regexp_extract(flags, '^(.*?)(?:111|1101)', 1)) + 1] as int) end as cutoff from f""")
 def reference_cutoffs(s, d):
     return chunking.document_cutoffs(_paragraphs(s, d))
 
@@ -316,9 +328,15 @@ def bm25_stemmed(s, d):
     return retrieval.bm25(_document_queries(s, d), _documents(s, d), words=lambda c: stemmed(X.tokens(c))).select("query_id", "doc_id", "score", "rank")
 
 
-@query()
+@query(f"""with {_BM25},
+sc as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))), 6) as score from qt join idf using (term) join tf using (term) group by 1, 2),
+rk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc where score > 0 qualify rank <= 10),
+t as (select doc_id, coalesce(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '^(the|a|an)\\s+', ''), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), '') as title_key, coalesce(length(text) > 500, false) as has_abstract from documents),
+g as (select *, first_value(score) over w as s1, first_value(has_abstract) over w as h1 from rk join t using (doc_id) window w as (partition by query_id, title_key order by rank)),
+c as (select *, coalesce(min(case when has_abstract and not h1 and s1 > 0 and score > 0.95 * s1 then rank end) over v, min(rank) over v) as chosen from g window v as (partition by query_id, title_key))
+select query_id, doc_id, score, cast(row_number() over (partition by query_id order by rank) as int) as rank, title_key, has_abstract from c where rank = chosen or title_key = ''""")
 def title_dedup(s, d):
-    titles = load(s, d, "documents").select("doc_id", X.title_key(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title_key"), (F.length("text") > 500).alias("has_abstract"))
+    titles = load(s, d, "documents").select("doc_id", X.title_key(F.pandas_udf(_strip_accents, "string")(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))))).alias("title_key"), (F.length("text") > 500).alias("has_abstract"))
     return retrieval.deduplicate_titles(retrieval.bm25(_document_queries(s, d), _documents(s, d)).join(titles, "doc_id").select("query_id", "doc_id", "score", "rank", F.coalesce("title_key", F.lit("")).alias("title_key"), F.coalesce("has_abstract", F.lit(False)).alias("has_abstract")))
 
 
@@ -519,11 +537,14 @@ def fuzzy_title_matches(s, d):
 
 @query()
 def fuzzy_gate(s, d):
-    """Candidates by DOI; accepted at a token-sort ratio of 90, or of 80 with a year within one."""
-    r = load(s, d, "catalog_records").filter("doi like '10.%' and title is not null").select("record_id", F.col("title").alias("r_title"), F.col("year").alias("r_year"), F.lower("doi").alias("k")).distinct()
-    p = load(s, d, "papers").filter("doi like '10.%'").select("id", "title", "year", F.lower("doi").alias("k")).distinct()
-    scored = r.join(p, "k").withColumn("ratio", metadata.token_sort_ratio(F.lower("r_title"), F.lower("title")))
-    return scored.select("record_id", "id", F.round("ratio", 3).alias("ratio"), ((F.col("ratio") >= 90) | ((F.col("ratio") >= 80) & (F.abs(F.col("r_year") - F.col("year")) <= 1))).alias("accepted"))
+    """Candidates by DOI; accepted at a token-sort ratio of 90, or of 80 with a year within one and a first author at 80; an unknown year or author accepts nothing."""
+    ratio = metadata.token_sort_ratio
+    r = load(s, d, "catalog_records").filter("doi like '10.%' and title is not null").select("record_id", F.col("title").alias("r_title"), F.col("year").alias("r_year"), F.split_part(F.coalesce("authors", F.lit("")), F.lit(";"), F.lit(1)).alias("r_author"), F.lower("doi").alias("k")).distinct()
+    p = load(s, d, "papers").filter("doi like '10.%'").select("id", "title", "year", F.coalesce(F.get("authors", F.lit(0)), F.lit("")).alias("author"), F.lower("doi").alias("k")).distinct()
+    scored = r.join(p, "k").withColumn("ratio", ratio(F.lower("r_title"), F.lower("title"))).withColumn("a_ratio", ratio(F.lower(X.last_name(F.col("r_author"))), F.lower(X.last_name(F.col("author")))))
+    years = F.coalesce(F.abs(F.col("r_year") - F.col("year")) <= 1, F.lit(False))
+    authors = (F.col("r_author") != "") & (F.col("author") != "") & (F.col("a_ratio") >= 80)
+    return scored.select("record_id", "id", F.round("ratio", 3).alias("ratio"), ((F.col("ratio") >= 90) | ((F.col("ratio") >= 80) & years & authors)).alias("accepted"))
 
 
 @query(f"""with {_PAPERS}, r as (select lower(doi) as k, min(container) as v from catalog_records where doi <> '' and container <> '' group by 1), t as (select title as k, min(container) as v from catalog_records where container <> '' group by 1)

@@ -30,12 +30,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder of spark.checkpoint.dir and read it from there.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder is
-    used; the files survive the loss of executors either way.
+    Where that setting is missing, a local session (tests, a laptop) uses a temporary
+    folder; on a cluster that is an error, for executors couldn't read each other's files.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folio-checkpoint-"))
     return df.checkpoint(eager=True)
 

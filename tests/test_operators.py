@@ -240,3 +240,73 @@ def test_reference_lists_are_whole(spark, tmp_path):
 
     spark.range(60).selectExpr("'p' as paper_id", "concat('n', id) as neighbor_id", "cast(id as int) as rank").write.parquet(str(tmp_path / "reference_sets.parquet"))
     assert reference.reference_lists(spark, str(tmp_path)).first().neighbours.split(",") == [f"n{i}" for i in range(60)]
+
+
+BODY = "The survey of site {} found a stable pattern in each of the years that were covered by it, as the following pages describe in more detail for the reader of the text."
+ENTRY = "Smith, J. ({}). On the pattern of {}. Journal of Things, Vol. 3, pp. 4-9. doi: 10.1000/{}"
+
+
+def test_blank_paragraphs_are_counted_but_no_text(spark):
+    body = [BODY.format(i) for i in range(14)]
+    entries = [ENTRY.format(1990 + i, i, i) for i in range(4)]
+    rows = [("plain", body + entries), ("front", [" "] * 6 + body + entries), ("between", [x for b in body for x in (b, "")] + entries)]
+    paras = chunking.document_paragraphs(spark.createDataFrame(rows, "paper_id string, paragraphs array<string>"))
+    assert {r.paper_id: r.cutoff for r in chunking.document_cutoffs(paras).collect()} == {"plain": 14, "front": 20, "between": 28}
+    for chunks in (chunking.chunk_paragraphs(paras), chunking.chunk_sentences(paras)):
+        got = [(r.paper_id, r.chunk_no, r.text) for r in chunks.collect()]
+        assert sorted(got) == sorted((p, i, x) for p in ("plain", "front", "between") for i, x in enumerate(body))
+
+
+def test_sentence_windows_and_places(spark):
+    a, b, c = (BODY.format(x) for x in "abc")
+    rows = [("d", ["Results", f"{a}  {b}", "Results", c, "References", BODY.format("z")], None, None, "T")]
+    df = spark.createDataFrame(rows, "paper_id string, paragraphs array<string>, full_text string, abstract string, title string")
+    got = chunking.chunk_sentences(chunking.document_paragraphs(df)).orderBy("chunk_no").collect()
+    assert [(r.text, r.previous, r.char_offset) for r in got] == [(a, None, 9), (b, a, 9 + len(a) + 2), (c, None, 9 + len(a) + len(b) + 4 + 9)]
+    assert got[1].parent_text == f"{a}  {b}" and got[1].context_text == f"T | Results | {a}" and got[2].context_text == "T | Results"
+
+
+def test_documents_fall_back_on_text_and_abstract(spark):
+    x, y = BODY.format("x"), BODY.format("y")
+    rows = [("a", [], f"{x}\r\n\r\n{y}", "no"), ("b", None, None, y), ("c", None, "", ""), ("d", [x], y, y)]
+    paras = chunking.document_paragraphs(spark.createDataFrame(rows, "paper_id string, paragraphs array<string>, full_text string, abstract string"))
+    assert sorted((r.paper_id, r.pos, r.para, r.n_paras) for r in paras.collect()) == [("a", 0, x, 2), ("a", 1, y, 2), ("b", 0, y, 1), ("d", 0, x, 1)]
+
+
+def test_structured_pages_keep_their_sections(spark):
+    x, y = BODY.format("x"), BODY.format("y")
+    df = spark.createDataFrame([("a", [x, y, "References", x], ["Intro", None, "Late"])], "paper_id string, paragraphs array<string>, sections array<string>")
+    got = chunking.chunk_paragraphs(chunking.structured_paragraphs(df)).orderBy("chunk_no").collect()
+    assert [(r.text, r.section) for r in got] == [(x, "Intro"), (y, "Intro"), (x, "Late")]
+
+
+def brute_dedup(rows, close=0.95):
+    kept = {}
+    for i, (score, title, has) in enumerate(rows):
+        if not title:
+            kept[i] = i
+        elif title not in kept:
+            kept[title] = i
+        else:
+            old = rows[kept[title]]
+            if has and not old[2] and old[0] > 0 and score > close * old[0]:
+                kept[title] = i
+    return sorted(kept.values())
+
+
+def test_title_dedup_against_brute_force(spark):
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for q in range(60):
+        found = sorted(((round(rnd.uniform(0.8, 1), 3), rnd.choice(["", "t", "u", "v"]), rnd.random() < 0.4) for _ in range(rnd.randrange(1, 9))), reverse=True)
+        rows += [(q, i, s, i + 1, t, h) for i, (s, t, h) in enumerate(found)]
+        want[q] = brute_dedup(found)
+    got = retrieval.deduplicate_titles(spark.createDataFrame(rows, "query_id long, doc_id long, score double, rank int, title_key string, has_abstract boolean")).orderBy("query_id", "rank").collect()
+    assert {q: [r.doc_id for r in got if r.query_id == q] for q in want} == want
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    from folio.operators.components import connected_components
+
+    assert {r.component for r in connected_components(edges).collect()} == {0}

@@ -61,3 +61,44 @@ def test_match_files_by_common_words_and_parts(spark):
     p = spark.createDataFrame(papers, "id string, title string, authors array<string>, year int, doi string, bibtex_key string")
     got = {r.file: (r.paper_id, r.rule) for r in match_files(spark.createDataFrame([(f,) for f in files], "file string"), p, common=2).collect()}
     assert got == {files[0]: ("p0", "words"), files[1]: ("q1", "title"), files[2]: ("q2", "title"), files[3]: ("q3", "doi")}
+
+
+def greedy(pairs):
+    taken, out = set(), {}
+    for p in sorted({a for a, _ in pairs}):
+        for f in sorted(b for a, b in pairs if a == p):
+            if f not in taken:
+                taken.add(f)
+                out[p] = f
+                break
+    return out
+
+
+def test_files_go_to_papers_in_their_order(spark):
+    import random
+
+    from folio.operators.files import _one_to_one
+
+    rnd = random.Random(4)
+    cases = [[("p1", "a"), ("p2", "a"), ("p2", "b"), ("p3", "b")], [(f"p{i}", f"f{j}") for i in range(3) for j in range(5)]]
+    cases.append([(f"p{rnd.randrange(12):02d}", f"f{rnd.randrange(12):02d}") for _ in range(40)])
+    for pairs in cases:
+        got = {r.paper_id: r.file for r in _one_to_one(spark.createDataFrame(pairs, "paper_id string, file string")).collect()}
+        assert got == greedy(pairs)
+
+
+def test_titles_of_many_papers_are_matched(spark):
+    papers = [(f"p{i:03d}", "Wide deep river basins", ["Nobody, N."], 0, None, None) for i in range(300)]
+    p = spark.createDataFrame(papers, "id string, title string, authors array<string>, year int, doi string, bibtex_key string")
+    got = match_files(spark.createDataFrame([("basins of the deep wide river.pdf",)], "file string"), p).collect()
+    assert [(r.paper_id, r.file, r.rule) for r in got] == [("p000", "basins of the deep wide river.pdf", "words")]
+
+
+def test_cut_keeps_the_marked_part(spark):
+    def cut(text, most):
+        return spark.range(1).select(prose.highlight_cut(F.lit(text), most)).first()[0]
+
+    text = "a" * 30 + " " + "b" * 50 + " **" + "c" * 20 + "** " + "d" * 80
+    got = cut(text, 60)
+    assert "**" + "c" * 20 + "**" in got and got.startswith("...") and got.endswith("...") and len(got) <= 66
+    assert cut("x" * 50, 20) == "x" * 20 + "..." and cut("**a** b", 60) == "**a** b" and cut("**a b", 60) == "**a b"
