@@ -97,6 +97,31 @@ def clean_markers(text: Column) -> Column:
     return F.trim(F.regexp_replace(reduce(lambda c, p: F.regexp_replace(c, p, " "), CITE_MARKERS, text), r"\s+", " "))
 
 
+def query_text(scale: str, clean: bool = True, prefix_section: bool = False) -> Column:
+    """Query text of a citation context at a scale, from the columns local, narrow, broad, section, wide and reformulated.
+
+    local, narrow and broad are windows around the citation; section puts the section in
+    front of local, global wide and section; reformulated is taken as it stands. What is
+    missing falls back on narrow or local; an unknown scale is an error.
+    """
+    c = F.col
+    narrow = F.coalesce(missing(c("narrow")), c("local"))
+    text = {
+        "local": c("local"),
+        "narrow": narrow,
+        "broad": F.coalesce(missing(c("broad")), c("local")),
+        "section": F.concat_ws(" ", missing(c("section")), c("local")),
+        "global": F.concat_ws(" ", missing(c("wide")), missing(c("section")), c("local")),
+        "reformulated": narrow,
+    }.get(scale)
+    if text is None:
+        raise ValueError(f"unknown scale: {scale}")
+    if prefix_section and scale not in ("section", "global", "reformulated"):
+        text = F.concat_ws(" ", missing(c("section")), text)
+    text = clean_markers(text) if clean else text
+    return F.coalesce(missing(c("reformulated")), text) if scale == "reformulated" else text
+
+
 def strip_editor_citations(text: Column) -> Column:
     return F.trim(reduce(lambda c, p: F.regexp_replace(c, p[0], p[1]), EDITOR_CITATIONS, text))
 

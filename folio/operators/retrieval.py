@@ -145,6 +145,18 @@ def min_max(col: Column, query: str = "query_id", constant: float = 1.0) -> Colu
     return F.when(high > low, (col - low) / (high - low)).otherwise(constant)
 
 
+def candidate_chunks(papers: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Scores of all chunks of each query's candidate papers: (query_id, paper_id, chunk_id, score).
+
+    papers: (query_id, paper_id); queries: (query_id, embedding); vectors: (chunk_id,
+    paper_id, embedding). An equi join on the paper; vectors of other papers are never read
+    into a product.
+    """
+    asked = papers.select("query_id", "paper_id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
+    dot = F.aggregate(F.zip_with("_q", "embedding", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return asked.join(vectors.filter("embedding is not null"), "paper_id").select("query_id", "paper_id", "chunk_id", F.round(dot, 6).alias("score"))
+
+
 def two_stage(papers: DataFrame, chunk_hits: DataFrame, alpha: float = 0.6, k: int = 10, per_paper: int = 3, evidence_from: float = 0.35) -> DataFrame:
     """Papers (query_id, paper_id, score) blended with their best chunks (query_id, chunk_id, paper_id, score).
 
@@ -161,12 +173,41 @@ def two_stage(papers: DataFrame, chunk_hits: DataFrame, alpha: float = 0.6, k: i
     return top_k(scored, k, doc="paper_id").select("query_id", "paper_id", "score", "rank", F.round("best_chunk_score", 6).alias("best_chunk_score"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
 
 
-def author_boost(results: DataFrame, boost: float = 1.2) -> DataFrame:
+def author_boost(results: DataFrame, boost: float = 1.2, places: int = 6) -> DataFrame:
     """results (query_text, lastnames, score): times boost where a last name is a word of the query."""
     edge = r"(^|[^\p{L}\p{N}_])"
     form = lambda x: F.concat(F.lit(edge), F.regexp_replace(F.lower(x), r"([^\p{L}\p{N}_\s])", r"\\$1"), F.lit(r"($|[^\p{L}\p{N}_])"))
     named = F.exists("lastnames", lambda x: F.regexp_like(F.lower(F.col("query_text")), form(x)))
-    return results.withColumn("author_match", F.coalesce(named, F.lit(False))).withColumn("score", F.round(F.when(F.col("author_match"), F.col("score") * boost).otherwise(F.col("score")), 6))
+    return results.withColumn("author_match", F.coalesce(named, F.lit(False))).withColumn("score", F.round(F.when(F.col("author_match"), F.col("score") * boost).otherwise(F.col("score")), places))
+
+
+def hybrid(tiers: DataFrame, queries: DataFrame, documents: DataFrame, k: int = 10, fusion: str = "rrf", rrf_k: int = 10, weights: dict[str, float] | None = None, boost: float = 1.2, graph: DataFrame | None = None, graph_boost: float = 1.1, deduplicate: bool = False) -> DataFrame:
+    """Ranked lists of several retrievers (query_id, doc_id, tier, rank, score) fused, boosted and cut: (query_id, doc_id, score, rank).
+
+    queries: (query_id, text); documents: (doc_id, lastnames, title_key, has_abstract).
+    Scores are multiplied by boost where a last name is a word of the query and by
+    graph_boost where the document's graph score (graph: doc_id, graph_score) is above the
+    upper quartile of the query's results; of equal titles one stays, from twice k. Lists
+    should hold 3 * candidates(k) results, so that boosts can bring some up.
+    """
+    fused = rrf(tiers, rrf_k, weights) if fusion == "rrf" else weighted_fusion(tiers, weights or {})
+    known = fused.select("query_id", "doc_id", "score").join(documents, "doc_id", "left").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    scored = author_boost(known, boost, places=9) if boost > 1 else known
+    if graph is not None:
+        scored = scored.join(graph.select("doc_id", "graph_score"), "doc_id", "left").withColumn("graph_score", F.coalesce("graph_score", F.lit(0.0)))
+        limit = upper_quartile_rank(scored, "query_id", "graph_score")
+        high = (F.col("threshold") > 0) & (F.col("graph_score") >= F.col("threshold"))
+        scored = scored.join(limit, "query_id").withColumn("score", F.round(F.when(high, F.col("score") * graph_boost).otherwise(F.col("score")), 9))
+    best = top_k(scored, 2 * k if deduplicate else k)
+    if deduplicate:
+        whole = best.select("query_id", "doc_id", "score", "rank", F.coalesce("title_key", F.lit("")).alias("title_key"), F.coalesce("has_abstract", F.lit(False)).alias("has_abstract"))
+        best = deduplicate_titles(whole).filter(F.col("rank") <= k)
+    return best.select("query_id", "doc_id", "score", "rank")
+
+
+def candidates(k: int, boosted: bool = True) -> int:
+    """How many results each retriever of a hybrid is asked for: three times what is fused, which is twice k with boosts or deduplication."""
+    return 3 * (2 * k if boosted else k)
 
 
 def upper_quartile_rank(values: DataFrame, group: str, value: str) -> DataFrame:

@@ -92,11 +92,29 @@ def context_queries(s, d):
     return load(s, d, "contexts").filter("text is not null").select("id", X.clean_markers(F.col("text")).alias("local_context")).distinct()
 
 
-# Contexts have one scale here; the others fall back to it, the section hint is the prefix.
-@query(f"select distinct id, trim(regexp_replace({_CLEAN}, '\\s+', ' ', 'g')) as cleaned, concat_ws(' ', nullif(section_hint, ''), text) as prefixed, coalesce(nullif(cast(null as varchar), ''), text) as narrow_or_local from contexts where text is not null")
+_SCALES = {
+    "local": "local", "narrow": "coalesce(nullif(narrow, ''), local)", "broad": "coalesce(nullif(broad, ''), local)", "section": "concat_ws(' ', nullif(section, ''), local)",
+    "global": "concat_ws(' ', nullif(wide, ''), nullif(section, ''), local)", "reformulated": "coalesce(nullif(narrow, ''), local)",
+}
+
+
+def _clean_sql(x: str) -> str:
+    return f"trim(regexp_replace({_CLEAN.replace('regexp_replace(text,', f'regexp_replace({x},')}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""with {_PAPERS}, c as (select distinct id, paper_id, text, section_hint from contexts where text is not null),
+s as (select *, string_split(regexp_replace(text, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) as s from c),
+a as (select *, coalesce(nullif(list_position(list_transform(s, lambda x: contains(x, '[CITE]')), true), 0), 1) as k from s),
+w as (select a.id, text as local, trim(array_to_string(s[greatest(1, k - 2):least(k + 1, len(s))], ' ')) as narrow, trim(array_to_string(s[greatest(1, k - 5):least(k + 1, len(s))], ' ')) as broad,
+  section_hint as section, p.title as wide from a left join p on p.id = a.paper_id)
+""" + " union all ".join(f"select distinct id, '{k}' as scale, {_clean_sql(v)} as query_text from w" for k, v in _SCALES.items()))
 def context_scales(s, d):
-    c = load(s, d, "contexts").filter("text is not null")
-    return c.select("id", X.clean_markers(F.col("text")).alias("cleaned"), F.concat_ws(" ", X.missing(F.col("section_hint")), "text").alias("prefixed"), F.coalesce(F.lit(None).cast("string"), "text").alias("narrow_or_local")).distinct()
+    """Each context's query at every scale; no query was reformulated, so that scale falls back."""
+    c = load(s, d, "contexts").filter("text is not null").select("id", "paper_id", "text", F.col("section_hint").alias("section")).distinct()
+    windows = chunking.citation_windows(c.select("id", "text").distinct().withColumn("previous_text", F.lit(None).cast("string")))
+    wide = c.join(windows, "id").join(_papers(s, d).select(F.col("id").alias("paper_id"), F.col("title").alias("wide")), "paper_id", "left").withColumnRenamed("text", "local").withColumn("reformulated", F.lit(None).cast("string"))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("scale"), X.query_text(k).alias("query_text")) for k in _SCALES))).alias("q")
+    return wide.select("id", each).select("id", "q.scale", "q.query_text").distinct()
 
 
 _SIGNALS = " + ".join(f"cast({_i('x', p)} as int)" for p in X.BIB_SIGNALS)
@@ -376,6 +394,36 @@ def two_phase_vector_topk(s, d):
     return retrieval.two_phase_vector_top(_query_vectors(s, d), _vectors(s, d))
 
 
+_TITLE_SQL = "coalesce(trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(split_part(text, chr(10), 1))), '^(the|a|an)\\s+', ''), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), '')"
+_EDGES = "[^\\p{L}\\p{N}_]"
+
+
+def _document_facts(s, d):
+    """What a hybrid needs of a document: its paper's last names, its title and whether it is long."""
+    names = _papers(s, d).select(F.col("id").alias("paper_id"), X.last_names(F.col("authors")).alias("lastnames"))
+    docs = load(s, d, "documents").select("doc_id", "paper_id", X.title_key(F.pandas_udf(_strip_accents, "string")(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))))).alias("title_key"), (F.length("text") > 500).alias("has_abstract"))
+    return docs.join(names, "paper_id", "left").drop("paper_id")
+
+
+@query(f"""with {_PAPERS}, {_NAMED}, {_BM25}, b as ({_ranked_sql(_bm25_sql(0.75), 60)}), v as ({_top_sql(_SCORED, 60)}),
+u as (select query_id, doc_id, rank from b union all select query_id, doc_id, rank from v),
+fu as (select query_id, doc_id, round(sum(1 / (10 + rank)), 9) as score from u group by 1, 2),
+g as (select fu.*, o.text, lower(q.text) as asked, t.lastnames from fu join documents q on q.doc_id = fu.query_id left join documents o on o.doc_id = fu.doc_id left join t on t.id = o.paper_id),
+m as (select query_id, doc_id, {_TITLE_SQL} as title_key, coalesce(length(text) > 500, false) as has_abstract,
+  round(case when len(list_filter(coalesce(lastnames, []), lambda l: regexp_matches(asked, '(^|{_EDGES})' || regexp_escape(lower(l)) || '($|{_EDGES})'))) > 0 then score * 1.2 else score end, 9) as score from g),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from m qualify rank <= 20),
+w as (select *, first_value(score) over (partition by query_id, title_key order by rank) as s1, first_value(has_abstract) over (partition by query_id, title_key order by rank) as h1 from k),
+c as (select *, coalesce(min(case when has_abstract and not h1 and s1 > 0 and score > 0.95 * s1 then rank end) over z, min(rank) over z) as chosen from w window z as (partition by query_id, title_key))
+select query_id, doc_id, score, cast(row_number() over (partition by query_id order by rank) as int) as rank from c where rank = chosen or title_key = '' qualify rank <= 10""".replace("qualify rank <= 10", "qualify row_number() over (partition by query_id order by rank) <= 10"))
+def hybrid(s, d):
+    """Lexical and vector retrieval fused, boosted by authors, without repeated titles."""
+    n = retrieval.candidates(10)
+    asked = _document_queries(s, d)
+    lexical = retrieval.bm25(asked, _documents(s, d), n).select("query_id", "doc_id", "score", "rank", F.lit("bm25").alias("tier"))
+    neural = retrieval.vector_top(_query_vectors(s, d), _vectors(s, d), n).select("query_id", "doc_id", "score", "rank", F.lit("neural").alias("tier"))
+    return retrieval.hybrid(lexical.unionByName(neural), asked, _document_facts(s, d), deduplicate=True)
+
+
 _HITS = f"h as ({_top_sql(_SCORED, 50)})"
 _MODE_SQL = {
     "max": "max(score)", "mean": "avg(score)", "sum": "sum(score)", "weighted_max": "0.7 * max(score) + 0.3 * avg(score)", "top_k_mean": "list_avg(list_sort(list(score), 'DESC')[1:3])",
@@ -408,13 +456,15 @@ def _paper_scores(s, d):
     return wide.groupBy("query_id", "paper_id").agg(F.round(F.avg("score"), 6).alias("score"))
 
 
-@query(f"""with {_HITS}, {_PAPER_SCORES}, top as (select *, row_number() over (partition by query_id, label order by score desc, doc_id) as n from h qualify n <= 3),
+@query(f"""with {_PAPER_SCORES}, h as (select x.* from ({_SCORED}) x join s1 on s1.query_id = x.query_id and s1.paper_id = x.label), top as (select *, row_number() over (partition by query_id, label order by score desc, doc_id) as n from h qualify n <= 3),
 c as (select query_id, label as paper_id, max(score) as best, sum(cast(score >= 0.35 - 1e-6 as int)) as evidence from top group by 1, 2),
 m as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 1.0 end as norm from s1 window w as (partition by query_id)),
 b as (select query_id, paper_id, round(0.6 * norm + 0.4 * coalesce(best, 0), 6) as score, round(coalesce(best, 0), 6) as best_chunk_score, cast(coalesce(evidence, 0) as bigint) as evidence from m left join c using (query_id, paper_id))
 select *, row_number() over (partition by query_id order by score desc, paper_id) as rank from b qualify rank <= 10""")
 def two_stage(s, d):
-    return retrieval.two_stage(_paper_scores(s, d), _hits(s, d))
+    vectors = load(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("paper_id"), "embedding")
+    papers = _paper_scores(s, d)
+    return retrieval.two_stage(papers, retrieval.candidate_chunks(papers, _query_vectors(s, d), vectors))
 
 
 @query(f"""with {_HITS}, {_PAPER_SCORES}, a as (select query_id, paper_id, row_number() over (partition by query_id order by score desc, paper_id) as rank from s1),
