@@ -24,11 +24,12 @@ from folio.operators.components import connected_components
 from folio.session import cut_lineage
 
 RADIUS = 1
-#: Pivots at most; a sample by hash of the surnames, collected to the driver.
-PIVOTS = 384
+#: Pivots: a sample by hash, of so many times the root of the number of surnames, between these bounds.
+PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 3, 64, 4096
 #: A token is a usual given name from this share of all names on: at most 1 / GIVEN_SHARE tokens.
 GIVEN_SHARE = 0.002
-_LONGEST = 24
+#: Distances to pivots are those of the first letters; what is longer counts as within LONG_RADIUS if within RADIUS.
+_LONGEST, LONG_RADIUS = 24, RADIUS + 1
 
 # Letters that don't decompose, and their usual plain spelling.
 PLAIN = {"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"}
@@ -194,25 +195,33 @@ def _cells(pivots: list[str]):
                 # Padding codes of both sides differ, so rows compare only up to their lengths.
                 d = damerau(np.repeat(c, p, 0), np.repeat(n, p), np.tile(np.where(pc == 0, -1, pc), (m, 1)), np.tile(pl, m)).reshape(m, p)
                 near = d.min(1)
-                i, j = np.nonzero(d <= near[:, None] + 2 * RADIUS)
+                radius = np.where(part["s"].str.len().to_numpy() >= _LONGEST, LONG_RADIUS, RADIUS)
+                i, j = np.nonzero(d <= (near + 2 * radius)[:, None])
                 yield pd.DataFrame({"blk": part["blk"].to_numpy()[i], "s": part["s"].to_numpy()[i], "cell": j.astype(np.int32), "d": d[i, j].astype(np.int32), "home": d.argmin(1)[i] == j})
 
     return run
 
 
-def near_surnames(points: DataFrame, max_pivots: int = PIVOTS) -> DataFrame:
+def near_surnames(points: DataFrame, max_pivots: int = MOST_PIVOTS) -> DataFrame:
     """Distinct points (blk, s) -> all ordered pairs (blk, s, s2), s <> s2, of one block within RADIUS.
 
     For d(x, y) <= r and x at home in cell p, d(y, p) <= d(y, home of y) + 2r: so y is
-    copied to p, and x meets it there. Names longer than _LONGEST are compared by an
-    equal number of leading characters and then as a whole.
+    copied to p, and x meets it there. Cutting both of a pair to _LONGEST letters adds 1
+    to their distance at most, so such names have the radius LONG_RADIUS; what meets is
+    compared as a whole. With the pivots growing as the root of the number of surnames,
+    so do the cells.
     """
-    pivots = [r[0] for r in points.select("s").distinct().orderBy(F.xxhash64("s"), "s").limit(max_pivots).collect()]
+    surnames = points.select("s").distinct()
+    wanted = int(PIVOT_FACTOR * surnames.count() ** 0.5)
+    pivots = [r[0] for r in surnames.orderBy(F.xxhash64("s"), "s").limit(min(max_pivots, max(LEAST_PIVOTS, wanted))).collect()]
     if not pivots:
         return points.select("blk", "s", F.col("s").alias("s2")).limit(0)
-    placed = cut_lineage(points.repartition("blk", "s").mapInPandas(_cells(pivots), "blk string, s string, cell int, d int, home boolean"))
+    # A number keeps adaptive execution from putting these few but costly rows into one task.
+    spread_out = points.repartition(2 * points.sparkSession.sparkContext.defaultParallelism, "blk", "s")
+    placed = cut_lineage(spread_out.mapInPandas(_cells(pivots), "blk string, s string, cell int, d int, home boolean"))
     home = placed.filter("home").select("blk", "cell", "s", F.col("d").alias("dx"), F.length("s").alias("lx"))
-    copy = placed.select("blk", "cell", F.col("s").alias("s2"), F.col("d").alias("dy"), F.length("s").alias("ly"), F.explode(F.array(*(F.col("d") + k for k in range(-RADIUS, RADIUS + 1)))).alias("dx"))
+    reach = F.when(F.length("s") >= _LONGEST, LONG_RADIUS).otherwise(RADIUS)
+    copy = placed.select("blk", "cell", F.col("s").alias("s2"), F.col("d").alias("dy"), F.length("s").alias("ly"), F.explode(F.sequence(F.col("d") - reach, F.col("d") + reach)).alias("dx"))
     lev = F.levenshtein("s", "s2")
     swapped = F.expr("exists(sequence(1, length(s) - 1), i -> concat(left(s, i - 1), substring(s, i + 1, 1), substring(s, i, 1), substring(s, i + 2)) = s2)")
     met = home.join(copy, ["blk", "cell", "dx"]).filter((F.col("s") != F.col("s2")) & (F.abs(F.col("lx") - F.col("ly")) <= 1))
@@ -284,8 +293,10 @@ def link_names(names: DataFrame) -> DataFrame:
         .agg(F.max((F.col("cs") == F.col("s")).cast("int")).alias("exact"), F.max((F.col("long_ini") == F.col("ini")).cast("int")).alias("whole"))
         .withColumn("score", F.col("exact") * 2 + F.col("whole"))
     )
-    best = scored.groupBy("blk", "s", "ini").agg(F.max_by(F.struct("entity", "score"), "score").alias("top"), F.max("score").alias("score"), F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
-    chosen = best.filter("size(scores) = 1 or scores[1] < score").select("blk", "s", "ini", F.col("top.entity").alias("entity"))
+    top = scored.groupBy("blk", "s", "ini").agg(F.max("score").alias("best"))
+    # The one entity that fits best; several that fit equally well decide nothing.
+    leading = scored.join(top, ["blk", "s", "ini"]).filter("score = best").groupBy("blk", "s", "ini").agg(F.count(F.lit(1)).alias("n"), F.min("entity").alias("entity"))
+    chosen = leading.filter("n = 1").select("blk", "s", "ini", "entity")
 
     hard = parsed.filter("g <> ''").join(placed.select("kind", "s", "g", "entity"), ["kind", "s", "g"]).select("name", "entity")
     loose = parsed.filter("g = ''").join(chosen, ["blk", "s", "ini"], "left").select("name", F.coalesce("entity", F.concat_ws("|", F.lit("i"), "s", "ini")).alias("entity"))
