@@ -260,7 +260,8 @@ def link_names(names: DataFrame) -> DataFrame:
     is a readable key of the least spelling. Initials or an acronym that fit several
     people or organisations stay on their own.
     """
-    names = names.select("name").filter("name is not null").distinct()
+    # A number keeps adaptive execution from reading all names in one task.
+    names = names.select("name").filter("name is not null").distinct().repartition(2 * names.sparkSession.sparkContext.defaultParallelism, "name")
     usual = usual_given_names(names)
     schema = "name string, kind string, s string, g string, ini string"
     parsed = cut_lineage(names.mapInPandas(_parse_frames(usual), schema).filter("kind <> '' and s <> ''"))
