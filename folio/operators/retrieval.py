@@ -7,18 +7,23 @@ Every operator takes a table of queries and returns ranked rows
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folio.functions.text import tokens
-from folio.session import cut_lineage, spread
+from folio.session import cut_lineage, never_broadcast, spread
 
 #: Rows of one block of vectors and of queries in the blocked product.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+#: Tokens of one block of documents in lexical retrieval, and those from which a table is spread over the cores.
+LEXICAL_BLOCK, LEAST_LEXICAL_BLOCK = 8_000_000, 250_000
 
 
 def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id", score: str = "score") -> DataFrame:
@@ -28,27 +33,123 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", doc: str = "doc_id
 
 
 def bm25(queries: DataFrame, documents: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, words: Callable[[Column], Column] = tokens) -> DataFrame:
-    """Okapi BM25 of queries (query_id, text) over documents (doc_id, text).
+    """Okapi BM25 of queries (query_id, text) over documents (doc_id, text), doc_id being unique.
 
     Idf is ln((N - df + .5) / (df + .5)); a negative one becomes epsilon times the mean
     idf of the vocabulary. Repeated query words count again; scores are rounded to six
     places; only positive ones are kept; words splits a text (with stems, for one). Documents without a token count in N. Null
     texts are empty.
     """
-    sized = spread(documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("tokens")).select("doc_id", "tokens", F.size("tokens").alias("len"))
-    # The postings are read twice, for the statistics and for the scores; texts are split once.
-    tf = cut_lineage(sized.select("doc_id", "len", F.explode("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return bm25_tiers(queries, documents, {"bm25": b}, k, k1, epsilon, words).drop("tier")
+
+
+def bm25_tiers(queries: DataFrame, documents: DataFrame, tiers: dict[str, float], k: int = 10, k1: float = 1.5, epsilon: float = 0.25, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """Ranked lists of bm25 for several length normalisations (tier: b) at once, with the column tier.
+
+    Documents are gathered in blocks of about LEXICAL_BLOCK tokens, each in one partition;
+    all queries pass by every block, which adds up the scores of its documents in one
+    array and hands on its best k. So no pair of query and document is ever a row. Words
+    are told apart by 64-bit hashes.
+    """
+    hashed = lambda df, id_: df.select(id_, F.transform(words(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
+    docs = hashed(spread(documents.select("doc_id", "text")), "doc_id").filter(F.size("w") > 0)
     n_docs = max(1, documents.count())
-    totals = tf.agg(F.sum("tf").alias("n_tokens")).select(F.lit(n_docs).alias("n_docs"), (F.col("n_tokens") / n_docs).alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(totals)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    weighted = asked.join(idf, "term")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = weighted.join(tf, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score")).filter("score > 0")
-    return top_k(scored, k)
+    # A document's length is counted at the first of its words.
+    each = docs.select(F.size("w").alias("len"), F.posexplode(F.array_distinct("w")).alias("at", "term"))
+    df = cut_lineage(each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("len")).otherwise(0)).alias("n")))
+    raw = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    n_tokens, mean = df.agg(F.sum("n"), F.avg(raw)).first()
+    n_tokens = n_tokens or 0
+    idf = df.select("term", F.when(raw < 0, F.lit(epsilon * (mean or 0.0))).otherwise(raw).alias("idf"))
+    asked = hashed(queries, "query_id").select("query_id", F.explode("w").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weighted = asked.join(never_broadcast(idf), "term").groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * F.col("idf")).alias("weight"))).alias("t"))
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-n_tokens // LEXICAL_BLOCK), min(cores, -(-n_tokens // LEAST_LEXICAL_BLOCK)), 1)
+    own = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("id"), "w", F.array().cast("array<double>").alias("weights"))
+    passing = weighted.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("query_id").alias("id"), F.col("t.term").alias("w"), F.col("t.weight").alias("weights"))
+    placed = own.unionByName(passing).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind").select("kind", "id", "w", "weights")
+    scored = placed.mapInArrow(_lexical_block(k, k1, tiers, n_tokens / n_docs), "query_id long, doc_id long, tier string, score double")
+    w = W.partitionBy("query_id", "tier").orderBy(F.col("score").desc(), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+class _Postings(NamedTuple):
+    """A block's documents by word: the words in order, where each one's postings begin (and the last one's end), documents and impacts by tier."""
+
+    ids: np.ndarray
+    terms: np.ndarray
+    begin: np.ndarray
+    docs: np.ndarray
+    impacts: dict[str, np.ndarray]
+
+
+def _postings(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k1: float, tiers: dict[str, float], avg_len: float) -> _Postings:
+    """(ids, lengths, words) of a block's documents -> its postings."""
+    ids, length, terms = (np.concatenate(x) for x in zip(*parts))
+    row = np.repeat(np.arange(len(ids), dtype=np.int32), length)
+    order = np.argsort(terms, kind="stable")  # rows stay in order inside a word
+    terms, row = terms[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (terms[1:] != terms[:-1]) | (row[1:] != row[:-1])]))
+    tf = np.diff(np.append(first, len(terms))).astype(np.float64)
+    terms, row = terms[first], row[first]
+    begin = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
+    impacts = {name: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avg_len)) for name, b in tiers.items()}
+    return _Postings(ids, terms[begin], np.append(begin, len(terms)), row, impacts)
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rounded scores of the best k positive ones, ties to the smaller id."""
+    border = np.partition(scores, -k)[-k] - 1e-6 if k < len(scores) else 0.0  # what rounding can lift to the border is kept
+    at = np.flatnonzero((scores >= border) & (scores > 0))
+    rounded = np.floor(scores[at] * 1e6 + 0.5) / 1e6
+    order = np.lexsort((ids[at], -rounded))[:k]
+    order = order[rounded[order] > 0]
+    return ids[at[order]], rounded[order]
+
+
+def _lexical_block(k: int, k1: float, tiers: dict[str, float], avg_len: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        block, scores = None, np.zeros(0)
+        lists = lambda rows, name: rows.column(name).flatten().to_numpy(zero_copy_only=False)
+        for batch in batches:
+            n = int(np.searchsorted(batch.column("kind").to_numpy(), 1))  # documents come before the queries
+            if n:
+                own = batch.slice(0, n)
+                parts.append((own.column("id").to_numpy(), pc.list_value_length(own.column("w")).to_numpy(), lists(own, "w")))
+            if n == batch.num_rows or not parts and block is None:
+                continue
+            if block is None:
+                block = _postings(parts, k1, tiers, avg_len)
+                parts, scores = [], np.zeros(len(block.ids))
+            asked = batch.slice(n)
+            terms, weights = lists(asked, "w"), lists(asked, "weights")
+            at = np.minimum(np.searchsorted(block.terms, terms), len(block.terms) - 1)
+            known = block.terms[at] == terms
+            begin, end = block.begin[at].tolist(), block.begin[at + 1].tolist()
+            ends = np.cumsum(pc.list_value_length(asked.column("w")).to_numpy())
+            found: list[tuple[int, str, np.ndarray, np.ndarray]] = []
+            for query, start, stop in zip(asked.column("id").to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                here = [i for i in range(start, stop) if known[i]]
+                for name, impact in block.impacts.items():
+                    scores.fill(0.0)
+                    for i in here:
+                        p = slice(begin[i], end[i])
+                        scores[block.docs[p]] += weights[i] * impact[p]
+                    ids, best = _best(scores, block.ids, k)
+                    found.append((query, name, ids, best))
+            size = [len(ids) for _, _, ids, _ in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(np.array([q for q, *_ in found], dtype=np.int64), size)),
+                    pa.array(np.concatenate([x for _, _, x, _ in found]).astype(np.int64)),
+                    pa.array(np.repeat(np.array([t for _, t, *_ in found], dtype=object), size), pa.string()),
+                    pa.array(np.concatenate([x for *_, x in found])),
+                ],
+                names=["query_id", "doc_id", "tier", "score"],
+            )
+
+    return run
 
 
 def _block_top(k: int, per_group: int | None = None):

@@ -118,6 +118,40 @@ def test_text_functions(spark):
     assert row.c1 == 0.65 and row.c2 == 0.5 and row.empty is True and row.html == "Some text with citations." and row.doi == "10.1/x" and row.paras == ["a b", "c"]
 
 
+def _bm25_rows(docs, queries, k, b, k1=1.5):
+    """Okapi BM25 by hand, of texts whose words are parted by blanks."""
+    import math
+    from collections import Counter
+
+    tf = {i: Counter(t.split()) for i, t in docs}
+    df = Counter(w for c in tf.values() for w in c)
+    raw = {w: math.log((len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    avg = sum(sum(c.values()) for c in tf.values()) / len(docs)
+    out = []
+    for q, text in queries:
+        score = lambda c, text=text: sum(n * (raw[w] if raw[w] >= 0 else 0.25 * mean) * c[w] * (k1 + 1) / (c[w] + k1 * (1 - b + b * sum(c.values()) / avg)) for w, n in Counter(text.split()).items() if w in c)
+        best = sorted((-round(score(c), 6), i) for i, c in tf.items())
+        out += [(q, i, -s, r) for r, (s, i) in enumerate(best[:k], 1) if s < 0]
+    return sorted(out)
+
+
+def test_bm25_in_blocks_without_a_row_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "LEXICAL_BLOCK", 500, raising=False)
+    rnd = random.Random(3)
+    words = [f"w{i}x" for i in range(60)]
+    docs = [(i, " ".join(rnd.choices(words, weights=range(1, 61), k=rnd.randrange(1, 30)))) for i in range(300)]
+    docs += [(300 + i, docs[i][1]) for i in range(40)]  # ties, also between blocks
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    queries = docs[:25]
+    got = retrieval.bm25(df.filter("doc_id < 25").withColumnRenamed("doc_id", "query_id"), df, 7)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in x and "query_id" in x and "doc_id" in x for x in plan.splitlines())
+    rows = sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect())
+    assert [(q, d, r) for q, d, _, r in rows] == [(q, d, r) for q, d, _, r in _bm25_rows(docs, queries, 7, 0.75)]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(rows, _bm25_rows(docs, queries, 7, 0.75)))
+
+
 def test_bm25_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "sea level rise"), (2, "deep learning"), (3, "ocean currents"), (4, "sea level rise"), (5, None), (6, "")], "doc_id long, text string")
     got = retrieval.bm25(spark.createDataFrame([(7, "sea level"), (8, ""), (9, None)], "query_id long, text string"), docs).collect()
