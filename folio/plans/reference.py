@@ -284,9 +284,7 @@ def _document_queries(s, d):
 
 def _tiers(s, d) -> DataFrame:
     """Two ranked lists a query: with and without length normalisation."""
-    docs, asked = _documents(s, d), _document_queries(s, d)
-    one = retrieval.bm25(asked, docs).withColumn("tier", F.lit("bm25"))
-    return one.unionByName(retrieval.bm25(asked, docs, b=0.0).withColumn("tier", F.lit("flat")))
+    return retrieval.bm25_tiers(_document_queries(s, d), _documents(s, d), {"bm25": 0.75, "flat": 0.0})
 
 
 _TIERS = f"""{_BM25}, r1 as ({_ranked_sql(_bm25_sql(0.75))}), r2 as ({_ranked_sql(_bm25_sql(0.0))}),
