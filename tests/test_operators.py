@@ -152,6 +152,18 @@ def test_bm25_in_blocks_without_a_row_a_pair(spark, monkeypatch):
     assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(rows, _bm25_rows(docs, queries, 7, 0.75)))
 
 
+def test_bm25_tiers_split_texts_once(spark, monkeypatch):
+    from folio.plans import reference
+    from tests.conftest import SMALL
+
+    split = []
+    monkeypatch.setattr(retrieval, "cut_lineage", lambda df, cut=retrieval.cut_lineage: split.append(df) or cut(df))
+    got = {(r.tier, r.query_id, r.doc_id, r.score, r["rank"]) for r in reference._tiers(spark, SMALL).collect()}
+    assert len(split) == 1
+    docs, asked = reference._documents(spark, SMALL), reference._document_queries(spark, SMALL)
+    assert got == {(tier, r.query_id, r.doc_id, r.score, r["rank"]) for tier, b in (("bm25", 0.75), ("flat", 0.0)) for r in retrieval.bm25(asked, docs, b=b).collect()}
+
+
 def test_bm25_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "sea level rise"), (2, "deep learning"), (3, "ocean currents"), (4, "sea level rise"), (5, None), (6, "")], "doc_id long, text string")
     got = retrieval.bm25(spark.createDataFrame([(7, "sea level"), (8, ""), (9, None)], "query_id long, text string"), docs).collect()
