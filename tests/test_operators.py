@@ -164,6 +164,13 @@ def test_bm25_tiers_split_texts_once(spark, monkeypatch):
     assert got == {(tier, r.query_id, r.doc_id, r.score, r["rank"]) for tier, b in (("bm25", 0.75), ("flat", 0.0)) for r in retrieval.bm25(asked, docs, b=b).collect()}
 
 
+def test_bm25_stemmed_sends_no_table_through_the_driver(spark):
+    from folio.plans import reference
+    from tests.conftest import SMALL
+
+    assert "Broadcast" not in reference.bm25_stemmed(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bm25_ties_and_empty(spark):
     docs = spark.createDataFrame([(1, "sea level rise"), (2, "deep learning"), (3, "ocean currents"), (4, "sea level rise"), (5, None), (6, "")], "doc_id long, text string")
     got = retrieval.bm25(spark.createDataFrame([(7, "sea level"), (8, ""), (9, None)], "query_id long, text string"), docs).collect()
