@@ -3,9 +3,9 @@
 Every line (or sentence of a long line) gives one symbol by what can be seen in any
 script: links, tags, separators, numbers, repeated words, length, closing marks, and the
 share of function words. The five-state model (prose; record, which holds references,
-contents, checklists and tables; link list; tag list; menu) is fitted to the symbols of a
-bounded sample of the pages by expectation maximisation, from a given start whose weight
-is that of PRIOR lines a state. The Viterbi path of the fitted model labels the lines; a
+contents, checklists and tables; link list; tag list; menu) is fitted to the symbols of
+all pages by expectation maximisation, from a given start whose weight is that of PRIOR
+lines a state. The Viterbi path of the fitted model labels the lines; a
 page is spam if most of its words stand in lines of the last three states.
 """
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folio.session import spread
+from folio.session import cut_lineage, spread
 
 STATES = ("prose", "record", "link", "tag", "menu")
 SPAM = ("link", "tag", "menu")
@@ -32,8 +32,8 @@ LEAST_WORDS = 8
 #: Words that count as one observation of the model.
 LINE_WORDS = 12
 
-#: The model is fitted to about so many pages (chosen by a hash of their text), of each at most so many symbols.
-FIT_PAGES, FIT_SYMBOLS = 5000, 400
+#: Symbols (the longest page's times pages) that go forward and backward together; a longer page goes alone.
+FIT_CELLS = 200_000
 #: Weight of the start, in lines a state, and rounds of the fit.
 PRIOR, ROUNDS = 300.0, 8
 
@@ -180,47 +180,69 @@ def first_model() -> Model:
     return Model(np.log(START), np.log(np.where(np.eye(k, dtype=bool), STAY, (1 - STAY) / (k - 1))), np.log(_chances(np.array([EMIT[s] for s in STATES]).T)))
 
 
-def fit_model(pages: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
-    """The model that explains the pages' symbols best, the start counting as prior lines a state.
-
-    Equal pages are computed once; all pages go forward and backward together.
-    """
-    model = begun = first_model()
-    held = Counter(p for p in pages if p)
-    if not held:
-        return model
-    seqs = sorted(held, key=len)
-    times = np.array([held[q] for q in seqs], dtype=float)
+def _expected(seqs: list[str], times: np.ndarray, model: Model) -> np.ndarray:
+    """Expected counts of first states, ways and symbols over pages' symbols (not empty, by length), in one row."""
     length = np.array([len(q) for q in seqs])
     n, top, k = len(seqs), int(length.max()), len(STATES)
     obs = np.zeros((n, top), dtype=np.int64)
     for i, q in enumerate(seqs):
         obs[i, : len(q)] = [SYMBOLS.index(c) for c in q]
+    start, move, emit = (np.exp(x) for x in model)
+    alpha, scale = np.zeros((top, n, k)), np.ones((top, n))
+    for t in range(top):
+        at = slice(int(np.searchsorted(length, t, "right")), n)  # pages longer than t
+        a = (start if t == 0 else alpha[t - 1, at] @ move) * emit[obs[at, t]]
+        scale[t, at] = a.sum(1)
+        alpha[t, at] = a / scale[t, at, None]
+    beta = np.ones((n, k))
+    n_start, n_move, n_emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(SYMBOLS), k))
+    for t in range(top - 1, -1, -1):
+        at = slice(int(np.searchsorted(length, t, "right")), n)
+        if t + 1 < top:
+            on = slice(int(np.searchsorted(length, t + 1, "right")), n)
+            ahead = emit[obs[on, t + 1]] * beta[on] / scale[t + 1, on, None]
+            n_move = n_move + move * ((alpha[t, on] * times[on, None]).T @ ahead)
+            beta[on] = ahead @ move.T
+        gamma = alpha[t, at] * beta[at] * times[at, None]
+        np.add.at(n_emit, obs[at, t], gamma)
+        if t == 0:
+            n_start = n_start + gamma.sum(0)
+    return np.concatenate([n_start, n_move.ravel(), n_emit.ravel()])
+
+
+def expected_counts(held: Iterable[tuple[str, int]], model: Model) -> np.ndarray:
+    """_expected of pages' symbols and how often each is held, in groups of about FIT_CELLS symbols."""
+    rows = sorted(((q, n) for q, n in held if q), key=lambda x: len(x[0]))
+    total = np.zeros(len(STATES) * (1 + len(STATES) + len(SYMBOLS)))
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and len(rows[end][0]) * (end + 1 - at) <= FIT_CELLS:
+            end += 1
+        total += _expected([q for q, _ in rows[at:end]], np.array([n for _, n in rows[at:end]], dtype=float), model)
+        at = end
+    return total
+
+
+def fit(counts: Callable[[Model], np.ndarray], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """The model that explains best what counts counts, the start counting as prior lines a state."""
+    model = begun = first_model()
+    k = len(STATES)
     for _ in range(rounds):
-        start, move, emit = (np.exp(x) for x in model)
-        alpha, scale = np.zeros((top, n, k)), np.ones((top, n))
-        for t in range(top):
-            at = slice(int(np.searchsorted(length, t, "right")), n)  # pages longer than t
-            a = (start if t == 0 else alpha[t - 1, at] @ move) * emit[obs[at, t]]
-            scale[t, at] = a.sum(1)
-            alpha[t, at] = a / scale[t, at, None]
-        beta = np.ones((n, k))
-        n_start, n_move, n_emit = prior * np.exp(begun.start), prior * np.exp(begun.move), prior * np.exp(begun.emit)
-        for t in range(top - 1, -1, -1):
-            at = slice(int(np.searchsorted(length, t, "right")), n)
-            if t + 1 < top:
-                on = slice(int(np.searchsorted(length, t + 1, "right")), n)
-                ahead = emit[obs[on, t + 1]] * beta[on] / scale[t + 1, on, None]
-                n_move = n_move + move * ((alpha[t, on] * times[on, None]).T @ ahead)
-                beta[on] = ahead @ move.T
-            gamma = alpha[t, at] * beta[at] * times[at, None]
-            np.add.at(n_emit, obs[at, t], gamma)
-            if t == 0:
-                n_start = n_start + gamma.sum(0)
+        seen = counts(model)
+        if not seen.any():
+            return begun
+        n_start, n_move, n_emit = seen[:k] + prior * np.exp(begun.start), seen[k : k + k * k].reshape(k, k) + prior * np.exp(begun.move), seen[k + k * k :].reshape(-1, k) + prior * np.exp(begun.emit)
         model = Model(np.log(n_start / n_start.sum()), np.log(n_move / n_move.sum(1, keepdims=True)), np.log(_chances(n_emit)))
     return model
 
 
+def fit_model(pages: list[str], rounds: int = ROUNDS, prior: float = PRIOR) -> Model:
+    """The model fitted to the pages' symbols; equal pages are computed once."""
+    held = Counter(p for p in pages if p)
+    return fit(lambda model: expected_counts(held.items(), model), rounds, prior)
+
+
 def viterbi(symbols: str, times: tuple[int, ...], model: Model) -> tuple[int, ...]:
     """The most likely states of a symbol sequence; a symbol speaks for as many lines in one state as its times say."""
     start, move, emit = (x.tolist() for x in model)
@@ -263,43 +285,62 @@ def page_symbols(text: str) -> list[tuple[str, int]]:
 
 def label_page(text: str, model: Model, cache: dict | None = None) -> dict[str, int]:
     """Number of words of a page in lines of each label; a long line speaks as often as it has LINE_WORDS words."""
-    words = dict.fromkeys(STATES, 0)
     seen = page_symbols(text)
-    if seen:
-        symbols, times = "".join(s for s, _ in seen), tuple(1 + n // LINE_WORDS for _, n in seen)
+    return label_symbols("".join(s for s, _ in seen), [n for _, n in seen], model, cache)
+
+
+def label_symbols(symbols: str, counts: list[int], model: Model, cache: dict | None = None) -> dict[str, int]:
+    """label_page from the symbols and numbers of words of the page's lines."""
+    words = dict.fromkeys(STATES, 0)
+    if symbols:
+        times = tuple(1 + n // LINE_WORDS for n in counts)
         path = cache.get((symbols, times)) if cache is not None else None
         if path is None:
             path = viterbi(symbols, times, model)
             if cache is not None and len(cache) < 200_000 and len(symbols) < 100:
                 cache[symbols, times] = path
-        for (_, n), state in zip(seen, path):
+        for n, state in zip(counts, path):
             words[STATES[state]] += n
     return words
 
 
-def _symbol_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("_text").to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array(["".join(s for s, _ in page_symbols(t))[:FIT_SYMBOLS] for t in texts], pa.string())], names=["symbols"])
+def _symbol_batches(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [page_symbols(t or "") for t in batch.column("_text").to_pylist()]
+            symbols, counts = pa.array(["".join(s for s, _ in x) for x in seen], pa.string()), pa.array([[n for _, n in x] for x in seen], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), symbols, counts], names=[*keys, "_symbols", "_counts"])
+
+    return run
+
+
+def _count_batches(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(expected_counts(zip(b.column("_symbols").to_pylist(), b.column("n").to_pylist()), model) for b in batches)
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "x"])
+
+    return run
 
 
 def fit_pages(pages: DataFrame) -> Model:
-    """The model fitted to about FIT_PAGES of the pages (_text); the sample is chosen by a hash of the text, so copies come together or not at all."""
-    filled = pages.select("_text").filter("_text <> ''")
-    total = filled.count()
-    every = max(1, total // FIT_PAGES)
-    sample = filled.filter(F.pmod(F.xxhash64("_text"), F.lit(every)) == 0) if every > 1 else filled
-    # A group of copies in the sample counts once.
-    distinct = spread(sample).mapInArrow(_symbol_batches, "symbols string").filter("symbols <> ''").groupBy("symbols").agg(F.least(F.count(F.lit(1)), F.lit(50)).alias("n"))
-    rows = distinct.orderBy(F.xxhash64("symbols")).limit(2 * FIT_PAGES).collect()
-    return fit_model([r.symbols for r in rows for _ in range(r.n)])
+    """The model fitted to the symbols (_symbols) of all pages; equal ones are computed once, and each round's counts are added up where they stand."""
+    held = cut_lineage(pages.filter("_symbols <> ''").groupBy("_symbols").agg(F.count(F.lit(1)).alias("n")))
+
+    def counts(model: Model) -> np.ndarray:
+        total = np.zeros(len(STATES) * (1 + len(STATES) + len(SYMBOLS)))
+        for r in held.mapInArrow(_count_batches(model), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
+            total[r.at] = r.x
+        return total
+
+    return fit(counts)
 
 
 def _label_batches(keys: list[str], model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            found = [label_page(t or "", model, cache) for t in batch.column("_text").to_pylist()]
+            found = [label_symbols(s, n, model, cache) for s, n in zip(batch.column("_symbols").to_pylist(), batch.column("_counts").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array([w[s] for w in found], pa.int32()) for s in STATES)], names=[*keys, *(f"{s}_words" for s in STATES)])
 
     return run
@@ -315,4 +356,7 @@ def label_pages(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(f"{s}_words", T.IntegerType()) for s in STATES)])
     total = sum((F.col(f"{s}_words") for s in STATES), F.lit(0))
     spam = sum((F.col(f"{s}_words") for s in SPAM), F.lit(0))
-    return spread(src).mapInArrow(_label_batches(keys, fit_pages(src)), schema).withColumn("is_spam", (total >= LEAST_WORDS) & (spam > F.lit(SPAM_SHARE) * total))
+    # Texts are read once; symbols and numbers of words are a few bytes a line.
+    read = T.StructType([*src.schema.fields[:-1], T.StructField("_symbols", T.StringType()), T.StructField("_counts", T.ArrayType(T.IntegerType()))])
+    lines = cut_lineage(spread(src).mapInArrow(_symbol_batches(keys), read))
+    return lines.mapInArrow(_label_batches(keys, fit_pages(lines)), schema).withColumn("is_spam", (total >= LEAST_WORDS) & (spam > F.lit(SPAM_SHARE) * total))

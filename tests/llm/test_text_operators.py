@@ -328,3 +328,13 @@ def test_mixing(spark):
     some = mix_sources(d, t, budget=5000).collect()
     assert 4700 <= sum(r.tokens for r in some) <= 5000
     assert mix_sources(d.limit(0), t).count() == 0 and mix_sources(d, t.limit(0)).count() == 0
+
+
+def test_every_page_and_line_counts_in_the_fit(spark):
+    rows = [(s, n) for s, n in (("s" * 500 + "u" * 300, 3), ("kh", 700), ("mmm", 1), ("l", 90))]
+    pages = spark.createDataFrame([(s,) for s, n in rows for _ in range(n)], "_symbols string")
+    fitted, whole = spam_pages.fit_pages(pages), spam_pages.fit_model([s for s, n in rows for _ in range(n)])
+    for a, b in zip(fitted, whole):
+        assert abs(a - b).max() < 1e-9
+    cut = spam_pages.fit_model([s[:400] for s, n in rows for _ in range(min(n, 50))])
+    assert abs(fitted.emit - cut.emit).max() > 0.01
