@@ -175,7 +175,7 @@ def paper_keys(s, d):
 def _strip_accents(x: pd.Series) -> pd.Series:
     import unicodedata
 
-    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+    return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)))
 
 
 _HTML = "text"

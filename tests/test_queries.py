@@ -34,3 +34,9 @@ def test_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() >= 0
+
+
+def test_title_accents_as_in_sql():
+    import pandas as pd
+
+    assert list(reference._strip_accents(pd.Series(["tota² é", "ﬁn", None]))) == ["tota² e", "ﬁn", None]
