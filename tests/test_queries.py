@@ -40,3 +40,16 @@ def test_title_accents_as_in_sql():
     import pandas as pd
 
     assert list(reference._strip_accents(pd.Series(["tota² é", "ﬁn", None]))) == ["tota² e", "ﬁn", None]
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+@pytest.mark.parametrize("name", ["hybrid"])
+def test_no_row_a_word_of_query_and_document(spark, name):
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
+    joined = [{x.output().apply(i).name() for i in range(x.output().size())} for x in _nodes(plan) if x.nodeName() == "Join"]
+    assert joined and not any({"term", "query_id", "doc_id"} <= names for names in joined)
