@@ -48,7 +48,7 @@ def _nodes(plan):
         yield from _nodes(plan.children().apply(i))
 
 
-@pytest.mark.parametrize("name", ["hybrid", "confidence_bands", "evaluation", "weighted_fuse"])
+@pytest.mark.parametrize("name", ["hybrid", "confidence_bands", "evaluation", "weighted_fuse", "bm25_stemmed"])
 def test_no_row_a_word_of_query_and_document(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan()
     joined = [{x.output().apply(i).name() for i in range(x.output().size())} for x in _nodes(plan) if x.nodeName() == "Join"]
